@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,3 +68,19 @@ def durable(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back, so that its lineage ends and no lost executor can take it along."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package, wherever they run; once for each session."""
+    sc = spark.sparkContext
+    if getattr(sc, "_millrace_shipped", False):
+        return
+    at, here = shared_dir(spark), Path(__file__).resolve().parent
+    folder = at.removeprefix("file:") if at.startswith(("file:", "/")) else tempfile.mkdtemp(prefix="millrace-")
+    os.makedirs(folder, exist_ok=True)
+    name = f"{folder.rstrip('/')}/millrace-{uuid.uuid4().hex}.zip"
+    with zipfile.ZipFile(name, "w") as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, str(Path("millrace") / p.relative_to(here)))
+    sc.addPyFile(name)
+    sc._millrace_shipped = True
