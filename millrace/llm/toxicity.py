@@ -23,14 +23,16 @@ from pyspark.sql import functions as F
 KINDS = ("none", "abusive", "hateful", "sexual")
 BUCKETS, DIM = 1 << 15, 16
 GRAMS = (3, 4, 5)
-MAX_LABELLED = 20_000  # judged reviews a model is fitted on, drawn by hash
+MAX_LABELLED = 8_000  # judged reviews a model is fitted on, drawn by hash
 THRESHOLD = 0.5
 WINDOW, STRIDE = 9, 4  # words of a stretch, for sentences that aren't divided by a mark
 
+_BREAK = regex.compile(r"</?(?:br|p|div|li|tr|td|h[1-6])\b[^<>]*>", regex.I)
 _TAG = regex.compile(r"</?[A-Za-z!?][^<>]*>")
 _UNSEEN = regex.compile(r"[\p{M}\p{Cf}\p{Default_Ignorable_Code_Point}--\s]|[\p{Cc}--\s]", regex.V1)
 _SPELLED = regex.compile(r"(?<![\p{L}\p{N}])[\p{L}\p{N}](?:([-._*·])[\p{L}\p{N}])(?:\1[\p{L}\p{N}])+(?![\p{L}\p{N}])")
-_END = regex.compile(r"[.!?…]+(?=\s|$|[\"'»)])|[\r\n]+|\s{2,}|¡|¿")
+_SPACED = regex.compile(r"(?<![\p{L}\p{N}])[\p{L}\p{N}](?: [\p{L}\p{N}]){3,}(?![\p{L}\p{N}])")
+_END = regex.compile(r"[.!?…]+(?=\s|$|[\"'»)])|¡|¿")
 _TOKEN = regex.compile(r"[\p{L}\p{N}@$#*!_%&+]*[\p{L}\p{N}][\p{L}\p{N}@$#*_%&+]*(?:!(?=[\p{L}\p{N}])[\p{L}\p{N}@$#*_%&+]*)*")
 _RUN = regex.compile(r"(.)\1+")
 
@@ -42,7 +44,7 @@ _LEET = str.maketrans("0134578@$!|+", "oieastbasiit")
 def fold(text: str) -> str:
     """text in lower case without accents, invisible characters and tags, with letters that look alike as one."""
     if "<" in text:
-        text = _TAG.sub("\n", text)
+        text = _TAG.sub("", _BREAK.sub(" ", text))
     if not text.isascii():
         text = _UNSEEN.sub("", unicodedata.normalize("NFKD", text)).casefold().translate(_LOOK)
     return text.lower()
@@ -60,7 +62,7 @@ def tokens(sentence: str) -> list[str]:
             letters = sum(c.isalpha() for c in t)
             if letters == 1 and t[1:].isdigit():  # part of a product's name
                 t = "0"
-            if letters >= 2 or (letters and any(c in "@$!#*" for c in t)):
+            if letters >= 2 or (letters and (t[0].isdigit() and len(t) > 4 or any(c in "@$!#*" for c in t))):
                 t = t.translate(_LEET)
             t = regex.sub(r"[^\p{L}\p{N}]", "*", t.strip("_*#&%+"))
             if t:
@@ -73,6 +75,7 @@ def sentences(text: str | None) -> list[tuple[str, ...]]:
     if not text:
         return []
     t = _SPELLED.sub(lambda m: m[0].replace(m[1], ""), fold(text))
+    t = _SPACED.sub(lambda m: m[0].replace(" ", ""), t)
     return [w for s in _END.split(t) if s and (w := tuple(tokens(s)))]
 
 
@@ -229,7 +232,7 @@ def _targets(docs: list[tuple[list, set[int]]], p: dict | None) -> dict:
             for k in said:
                 target[x][k] += 1
             # A sentence nobody named may be of a kind all the same: judgements name one kind, and some are wrong.
-            if not said and p[x][0] > (0.7 if kinds else 0.3):
+            if not said and p[x][0] > (0.7 if kinds else 0.5):
                 target[x][0] += 1
             elif not said and kinds and p[x][0] < 0.3:
                 target[x] += p[x] * 0.5
@@ -237,12 +240,13 @@ def _targets(docs: list[tuple[list, set[int]]], p: dict | None) -> dict:
 
 
 def _fit(target: dict, examples: list[tuple[tuple[str, ...], int]], epochs: int, seed: int) -> Model:
+    """A model of such targets; epochs are for many sentences, few are gone through more often."""
     rng = random.Random(seed)
     total: dict = defaultdict(lambda: np.zeros(len(KINDS)))
     for x, t in target.items():
         total[x] += t
     for x, k in examples:
-        total[x][k] += 1
+        total[x][k] += 2
     texts, y, weight = [], [], []
     for x, t in total.items():
         n = t.sum()
@@ -258,7 +262,7 @@ def _fit(target: dict, examples: list[tuple[tuple[str, ...], int]], epochs: int,
             texts.append(disguised(x, rng))
             y.append(t / n)
             weight.append(0.5)
-    return fit(texts, np.array(y), np.array(weight), epochs, seed)
+    return fit(texts, np.array(y), np.array(weight), max(epochs, min(30, 40_000 // len(texts))), seed)
 
 
 def train(judged: list[tuple[str, list[str | None]]], rounds: int = 2, folds: int = 2, seed: int = 0, examples: list[tuple[str, str]] | None = None) -> Model:
