@@ -1,0 +1,16 @@
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
+
+@pytest.fixture(scope="session")
+def spark():
+    from millrace.session import local_session, ship
+
+    s = local_session(4, "4g", 4)
+    ship(s)
+    yield s
+    s.stop()
