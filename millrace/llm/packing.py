@@ -89,28 +89,30 @@ def pack(sizes: DataFrame, window: int = WINDOW, tiers: tuple[int, ...] = TIERS,
     """Places for texts of n_tokens: doc_id, part, token_from, token_to, tier, sequence, start, step.
 
     Every text is in exactly one place, whole unless it is longer than the window, when its parts are full windows and a rest. Empty texts have
-    an empty place. Of repeated doc_ids each row is placed.
+    an empty place. Of repeated or null doc_ids each row is placed. sizes is written once: rows are numbered as they lie in those files, so that
+    a lost task numbers them again alike, and no group grows with how often a doc_id stands.
     """
     n, w = F.coalesce(F.greatest(F.col("n_tokens"), F.lit(0)), F.lit(0)), F.lit(window)
-    parts = sizes.select("doc_id", n.alias("n")).withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / w) - 1).cast("int"))))
-    parts = parts.select("doc_id", "part", (F.col("part") * w).cast("bigint").alias("token_from"), F.least("n", (F.col("part") + 1) * w).cast("bigint").alias("token_to"))
+    rows = durable(sizes.select(F.col("doc_id").cast("bigint"), n.alias("n"))).withColumn("row", F.monotonically_increasing_id())
+    parts = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / w) - 1).cast("int"))))
+    parts = parts.select("row", "doc_id", "part", (F.col("part") * w).cast("bigint").alias("token_from"), F.least("n", (F.col("part") + 1) * w).cast("bigint").alias("token_to"))
     groups = max(1, -(-parts.count() // group))
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "part"], kind="stable")
+        pdf = pdf.sort_values(["row", "part"], kind="stable")
         size = (pdf.token_to - pdf.token_from).to_numpy(np.int64)
         no, start = fill(size, window, tiers)
         cost = np.bincount(no, weights=size.astype(float) ** 2)
         g = int(pdf.group.iloc[0])
         return pd.DataFrame({
-            "doc_id": pdf.doc_id.to_numpy(np.int64), "part": pdf.part.to_numpy(np.int32), "token_from": pdf.token_from.to_numpy(np.int64), "token_to": pdf.token_to.to_numpy(np.int64),
+            "doc_id": pdf.doc_id.astype("Int64"), "part": pdf.part, "token_from": pdf.token_from, "token_to": pdf.token_to,
             "tier": np.array(tiers, np.int64)[np.searchsorted(np.array(tiers), size)], "sequence": (np.int64(g) << 32) + no, "start": start, "step": (np.int64(g) << 32) + balanced(cost, step)[no],
         })
 
     schema = "doc_id bigint, part int, token_from bigint, token_to bigint, tier bigint, sequence bigint, start bigint, step bigint"
-    return parts.withColumn("group", F.pmod(F.xxhash64("doc_id", "part"), F.lit(groups)).cast("bigint")).groupBy("group").applyInPandas(place, schema)
+    return parts.withColumn("group", F.pmod(F.xxhash64("row", "part"), F.lit(groups)).cast("bigint")).groupBy("group").applyInPandas(place, schema)
 
 
 def packed(documents: DataFrame, path: str = TOKENIZER, **how) -> DataFrame:
-    """pack() of the whole texts of documents. Counts are written once, as both the number of groups and the packing need them."""
-    return pack(durable(token_counts(documents, path)), **how)
+    """pack() of the whole texts of documents."""
+    return pack(token_counts(documents, path), **how)

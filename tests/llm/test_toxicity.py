@@ -1,0 +1,66 @@
+"""Toxicity: undoing disguises, learning from noisy judgements of whole texts, held-out accuracy."""
+
+import random
+
+from millrace.llm.toxicity import KINDS, flagged, judged_texts, score, sentences, train
+
+BAD = {"abusive": ["you are a {}", "shut up {}", "the seller is a {}"], "hateful": ["all {} are vermin", "throw the {} out of here", "never trust {}"], "sexual": ["send me {}", "hot {} tonight", "free {} on my page"]}
+WORDS = {"abusive": ["moron", "cretin", "dimwit", "scumbag"], "hateful": ["foreigners", "strangers", "newcomers", "settlers"], "sexual": ["nudes", "porn", "naked pics", "blowjobs"]}
+FINE = ["the {} broke after a week", "my {} arrived early", "it is a good {}", "the manual of the {} is thick", "the bastard file for the {} is coarse"]
+THINGS = ["kettle", "lamp", "saw", "chair", "tent", "radio"]
+
+
+def make(r, n, wrong=0.1):
+    """(text, true kinds, judgements) of n texts, some judged wrongly."""
+    out = []
+    for _ in range(n):
+        s = [r.choice(FINE).format(r.choice(THINGS)) for _ in range(r.randrange(2, 6))]
+        kind = r.choice([None, None, *BAD])
+        if kind:
+            w = r.choice(WORDS[kind])
+            if r.random() < 0.4:
+                i = r.randrange(1, len(w) - 1)
+                w = r.choice([w[:i] + "*" + w[i + 1 :], "-".join(w.replace(" ", "")), w[:i] + w[i] * 3 + w[i:], w[:i] + "​" + w[i:], w.replace("o", "0").replace("i", "1"), w.upper()])
+            s.insert(r.randrange(len(s)), r.choice(BAD[kind]).format(w))
+        said = kind or "none"
+        if r.random() < wrong:
+            said = r.choice(KINDS)
+        out.append((". ".join(s) + ".", {kind} if kind else set(), [said]))
+    return out
+
+
+def test_sentences():
+    assert sentences("You M.O.R.O.N! Fооl <b>x</b>​y") == [("you", "moron"), ("fol", "xy")]
+    assert sentences("a v e r y slow 1d1ot, S23 and 24") == [("avery", "slow", "idiot", "0", "and", "0")]
+    assert sentences(None) == sentences("") == sentences("?!...") == []
+
+
+def test_held_out():
+    r = random.Random(3)
+    seen, new = make(r, 900), make(r, 500, 0)
+    m = train([(t, said) for t, _, said in seen], examples=[])
+    p = m.scores([sentences(t) for t, _, _ in new])
+    hit = miss = extra = 0
+    for (_, kinds, _), x in zip(new, p):
+        got = {k for k, v in zip(KINDS[1:], x[1:]) if v > 0.5}
+        hit, miss, extra = hit + len(got & kinds), miss + len(kinds - got), extra + len(got - kinds)
+    assert hit / (hit + miss) > 0.9 and hit / (hit + extra) > 0.9
+
+
+def test_tables(spark):
+    docs = spark.createDataFrame([(1, "You are an idiot.", "a"), (2, None, "b"), (3, "", "c"), (4, "The kettle is fine. " * 5000, "d"), (None, "Shut up, you moron.", "e"), (1, "You are an idiot.", "a")], "doc_id bigint, text string, label string")
+    labels = spark.createDataFrame([(1, "x", "abusive"), (1, "y", None), (4, None, " None "), (None, "x", "sexual"), (99, "x", "odd")], "doc_id bigint, annotator string, label string")
+    judged = judged_texts(docs, labels)
+    assert [(t[:5], j) for t, j in judged if t] == [("You a", ["abusive", None]), ("You a", ["abusive", None]), ("The k", [" None "])]
+    m = train(judged)
+    s = score(docs, m)
+    assert s.count() == 6 and {r["doc_id"]: r["abusive"] for r in s.collect()}[3] == 0
+    assert ("abusive" in {r["category"] for r in flagged(s).where("doc_id = 1").collect()}) and flagged(s).where("doc_id in (2, 3)").count() == 0
+    empty = train(judged_texts(docs.limit(0), labels.limit(0)))
+    assert score(docs.limit(0), empty).count() == 0
+
+
+def test_same_model_twice():
+    data = [(t, s) for t, _, s in make(random.Random(1), 60)]
+    x = [sentences("you are a moron")]
+    assert (train(data).scores(x) == train(data).scores(x)).all()
