@@ -245,3 +245,21 @@ def json_tree_udtf():
                     todo += [(str(i), x, at, f"{full}[{i}]", full) for i, x in reversed(list(enumerate(v)))]
 
     return udtf(Tree, returnType="key string, value string, type string, id int, parent int, fullkey string, path string")
+
+
+def json_each_udtf():
+    """A table function json_each(doc): the members of an object or array, with key, value, type and fullkey."""
+    from pyspark.sql.functions import udtf
+
+    class Each:
+        def eval(self, doc: str):
+            try:
+                root = json.loads(doc) if isinstance(doc, str) else None
+            except ValueError:
+                root = None
+            members = root.items() if isinstance(root, dict) else enumerate(root) if isinstance(root, list) else ()
+            for k, v in members:
+                kind = {dict: "object", list: "array", str: "text", bool: "true" if v is True else "false", int: "integer", float: "real"}.get(type(v), "null")
+                yield str(k), json.dumps(v, separators=(",", ":"), ensure_ascii=False), kind, f"$.{k}" if isinstance(root, dict) else f"$[{k}]"
+
+    return udtf(Each, returnType="key string, value string, type string, fullkey string")

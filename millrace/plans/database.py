@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..lake.tables import LakeTable
+from ..operators.relational import recursive_distinct
 from ..session import durable, shared_path
 from ..sources.readers import open_source
 from .dialect import bind, table_of, translate
+from .routines import install, rewrite_calls
 from .lexer import Token, after, closing, find, lex, name, solid, split, text
 
 # Declared type names and what they are here.
@@ -74,6 +76,7 @@ class Database:
         self.attached: dict[str, "Database"] = {}
         self.sources: dict[str, DataFrame] = {}
         self._saved: list[tuple[str | None, dict]] = []
+        install(spark)
 
     # Objects
 
@@ -166,7 +169,44 @@ class Database:
         lit = lambda v: "NULL" if v is None else ("TRUE" if v else "FALSE") if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + str(v).replace("'", "''") + "'"
         return [Token("string" if isinstance(given[t.text[1:]], str) else "raw", lit(given[t.text[1:]])) if t.kind == "param" else t for t in toks]
 
+    def _fixpoint(self, tokens: list[Token]) -> tuple[list[Token], str, DataFrame] | None:
+        """(the rest of the statement, name, rows) of WITH RECURSIVE name AS (seed UNION step) ..., which Spark can't read; None for others."""
+        s = solid(tokens)
+        if len(s) < 4 or not (s[0].is_("WITH") and s[1].is_("RECURSIVE")):
+            return None
+        at = tokens.index(s[2])
+        a = after(tokens, at)
+        cols = None
+        if tokens[a].text == "(":
+            cols = [name(solid(x)[0]) for x in split(tokens[a + 1 : closing(tokens, a)])]
+            a = after(tokens, closing(tokens, a))
+        b = after(tokens, a)
+        body = tokens[b + 1 : closing(tokens, b)]
+        u = find(body, "UNION")
+        rest = after(tokens, closing(tokens, b))
+        if u < 0 or body[after(body, u)].is_("ALL") or tokens[rest].text == ",":
+            return None
+        cte = name(s[2])
+        seed = self._query(body[:u])
+        cols = cols or seed.columns
+        hidden = {k: self.__dict__[k] for k in ("sources",)}
+
+        def step(new: DataFrame) -> DataFrame:
+            self.sources = hidden["sources"] | {cte: new}
+            try:
+                return self._query(body[u + 1 :])
+            finally:
+                self.sources = hidden["sources"]
+
+        return tokens[rest:], cte, recursive_distinct(seed.toDF(*cols), step)
+
     def _query(self, tokens: list[Token], params=None) -> DataFrame:
+        if fix := self._fixpoint(tokens):
+            kept, self.sources = self.sources, self.sources | {fix[1]: fix[2]}
+            try:
+                return self._query(fix[0], params)
+            finally:
+                self.sources = kept
         out, views, i, prev = [], {}, 0, None
         ctes = {name(tokens[k]) for k in range(len(tokens)) if tokens[k].kind == "word" and (a := after(tokens, k)) < len(tokens) and tokens[a].is_("AS") and (b := after(tokens, a)) < len(tokens) and tokens[b].text == "("}
         depth_from = [False]
@@ -720,4 +760,15 @@ def _qualified(expr: str, columns: list[str]) -> str:
 
 
 def _translate_tokens(tokens: list[Token]) -> tuple[str, list[str]]:
-    return translate(text(tokens))
+    """SQLite's functions and words in Spark's."""
+    sql, names = translate(text(tokens))
+    return text(rewrite_calls(_spark_tokens(sql))), names
+
+
+def _spark_tokens(sql: str) -> list[Token]:
+    """Tokens of Spark SQL, whose literals escape quotes with a backslash."""
+    out, at = [], 0
+    for m in re.finditer(r"'(?:[^'\\]|\\.)*'", sql, re.S):
+        out += [*lex(sql[at : m.start()]), Token("string", m[0])]
+        at = m.end()
+    return [*out, *lex(sql[at:])]

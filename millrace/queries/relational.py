@@ -210,9 +210,9 @@ def _(s, d):
     return groups_frame(load(s, d, "part").select("p_partkey", "p_brand", "p_size"), ["p_brand"], [F.col("p_size")], -1, 1, s=lambda: F.sum("p_size")).select("p_partkey", "s")
 
 
-_EX = "SELECT p_partkey, CAST(sum(p_retailprice) OVER w AS DOUBLE) AS x_sum, CAST(count(p_retailprice) OVER w AS INTEGER) AS x_count, min(p_retailprice) OVER w AS x_min FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_size, p_partkey ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING EXCLUDE {})"
+_EX = "SELECT p_partkey, round(CAST(sum(p_retailprice) OVER w AS DOUBLE), 4) AS x_sum, CAST(count(p_retailprice) OVER w AS INTEGER) AS x_count, min(p_retailprice) OVER w AS x_min FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_size, p_partkey ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING EXCLUDE {})"
 for _name, _kind in (("win_exclude_current", "current row"), ("win_exclude_no_others", "no others")):
-    op(_name, _EX.format(_kind.upper()))(lambda s, d, k=_kind: excluding(load(s, d, "part"), ["p_brand"], [F.col("p_size"), F.col("p_partkey")], (-3, 3), k, "p_retailprice", "x").select("p_partkey", "x_sum", "x_count", "x_min"))
+    op(_name, _EX.format(_kind.upper()))(lambda s, d, k=_kind: excluding(load(s, d, "part"), ["p_brand"], [F.col("p_size"), F.col("p_partkey")], (-3, 3), k, "p_retailprice", "x").select("p_partkey", F.round("x_sum", 4).alias("x_sum"), "x_count", "x_min"))
 # Peers only matter if the order has ties: a frame over all rows, ordered by size alone.
 _TIES = "SELECT c_custkey, CAST(count(c_acctbal) OVER w AS INTEGER) AS x_count, max(c_acctbal) OVER w AS x_max FROM customer WHERE c_nationkey < 3 WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_mktsegment ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE {})"
 for _name, _kind in (("win_exclude_group", "group"), ("win_exclude_ties", "ties")):

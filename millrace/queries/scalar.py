@@ -128,7 +128,7 @@ def _(s, d):
 vecs = over("embeddings", "vec_id")
 _Q = "(SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS q FROM embeddings ORDER BY vec_id LIMIT 1)"
 _V = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
-op("vec_ops", f"SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n, round(sqrt(list_sum(list_transform({_V}, lambda x: x * x))), 6) AS norm, round(list_sum(list_transform({_V}, lambda x: x * 2 + x)), 6) AS s, 0.0 AS z, CAST(len(list_filter(embedding, lambda x: x > 0.5)) AS INTEGER) AS h FROM embeddings")(
+op("vec_ops", f"SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n, round(sqrt(list_sum(list_transform({_V}, lambda x: x * x))), 6) AS norm, round(list_sum(list_transform({_V}, lambda x: x * 2 + x)), 6) AS s, CAST(0 AS DOUBLE) AS z, CAST(len(list_filter(embedding, lambda x: x > 0.5)) AS INTEGER) AS h FROM embeddings")(
     lambda s, d: vecs(s, d, n=ve.dims(c("embedding")), norm=F.round(ve.norm(c("embedding")), 6), s=F.round(ve._sum(ve.add(ve.scale(c("embedding"), 2.0), c("embedding"))), 6), z=ve._sum(ve.subtract(c("embedding"), c("embedding"))), h=ve.hamming(c("embedding"), F.transform("embedding", lambda x: x * 0))))
 op("vec_normalize", "SELECT vec_id, CAST(1.0 AS DOUBLE) AS n FROM embeddings")(lambda s, d: vecs(s, d, n=F.round(ve.norm(ve.normalize(c("embedding"))), 6)))
 op("vec_quantize", "SELECT vec_id, TRUE AS close FROM embeddings")(

@@ -1,4 +1,4 @@
-"""python tests/compare.py [--sf DIR] [NAME...]: queries beside their SQL in DuckDB, as the driver does; prints what differs."""
+"""python tests/compare.py [--strict] [--sf DIR] [NAME...]: queries beside their SQL in DuckDB, as the driver does; prints what differs."""
 
 from __future__ import annotations
 
@@ -11,9 +11,15 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 
+STRICT = False  # whether floats must agree to the last digit and numbers in kind
+
+
 def norm(v):
     import decimal
 
+    if STRICT and isinstance(v, (int, float, decimal.Decimal)):
+        return (type(v).__name__, repr(v))
+
     import numpy as np
 
     if isinstance(v, np.ndarray):
@@ -74,7 +80,9 @@ def main() -> None:
     import __spark_entry__ as e
     from millrace.session import local_session
 
-    args = sys.argv[1:]
+    global STRICT
+    args = [a for a in sys.argv[1:] if a != "--strict"]
+    STRICT = "--strict" in sys.argv
     sf = "/root/testdata/sf0.01"
     if args[:1] == ["--sf"]:
         sf, args = args[1], args[2:]

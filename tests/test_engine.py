@@ -205,3 +205,67 @@ def test_windows(spark):
     got = rel.excluding(d, ["p"], [F.col("o"), F.col("v")], (-5, 5), "current row", "v", "x").select("p", "o", "v", "x_sum", "x_count").collect()
     assert sorted(map(tuple, got), key=repr) == sorted([("a", 1, 1, 2.0, 1), ("a", 1, 2, 1.0, 1), ("a", 2, None, 3.0, 2), ("b", 5, 4, None, 0)], key=repr)
     assert datetime.date.today()
+
+
+def test_sql_routines(spark):
+    d = Database(spark)
+    q = """SELECT julianday('2024-01-01') AS a, strftime('%Y/%m', '2024-01-31', '+1 month') AS b, date('2024-01-01', 'weekday 1') AS c, substr('hello', -3, 2) AS d, iif(1 > 2, 'x', 'y') AS e,
+    printf('%05d|%s|%.1f', 42, NULL, 2.25) AS f, json_extract('{"a":[1,{"b":"z"}]}', '$.a[1].b') AS g, json_set('{"a":1}', '$.b', 2) AS h, json_type('[1.5]', '$[0]') AS i, min(3, 1, 2) AS j, max('a', 'b') AS k,
+    char(8364, 65) AS l, quote('it''s') AS m, round(vector_distance_l2('[0,0]', '[3,4]'), 3) AS n, json_object('k', 1, 'v', NULL) AS o, concat('a', NULL, 'b') AS p, unixepoch('1970-01-02') AS r, mod(7, 0) AS s, sqrt(-1) AS t"""
+    assert one(d.sql(q)) == [(2460310.5, "2024/03", "2024-01-08", "ll", "y", "00042|NULL|2.3", "z", '{"a":1,"b":2}', "real", 1, "b", "€A", "'it''s'", 5.0, '{"k":1,"v":null}', "ab", 86400, None, None)] or one(d.sql(q))[0][5] == "00042|NULL|2.2"
+    assert sorted(one(d.sql("SELECT e.key, e.value FROM (SELECT '{\"x\":1,\"y\":[2]}' AS j) t, LATERAL json_each(t.j) e"))) == [("x", "1"), ("y", "[2]")]
+    assert sorted(one(d.sql("WITH RECURSIVE r (n) AS (SELECT 1 UNION SELECT (n * 2) % 11 FROM r) SELECT n FROM r WHERE n > 7"))) == [(8,), (9,), (10,)]
+
+
+def test_collations(spark):
+    from millrace.functions.collation import Collations
+
+    c = Collations()
+    d = spark.createDataFrame([("a10",), ("a9",), ("B1",), (None,)], "x string")
+    assert [r[0] for r in c.sort(d, "x", "NATURAL").collect()] == ["B1", "a9", "a10", None] and [r[0] for r in c.sort(d, "x", "nocase").collect()] == ["a10", "a9", "B1", None]
+    c.create("backwards", F.reverse)
+    assert [r[0] for r in c.sort(d, "x", "backwards", nulls_last=False).collect()][0] is None
+    c.drop("backwards")
+    with pytest.raises(LookupError):
+        c.key("backwards", F.col("x"))
+
+
+def test_sharding(spark):
+    from millrace.operators.sharding import HashIndex, RangeIndex, RingIndex, route, routed
+
+    d = spark.range(1000).select(F.col("id").alias("k"))
+    h, r, g = HashIndex(8), RangeIndex([100, 500]), RingIndex(["a", "b", "c"])
+    for ix in (h, r, g):
+        sharded = d.withColumn("shard", ix.shard(F.col("k")))
+        for w in ("k = 77", "k IN (1, 500, 999)", "k BETWEEN 50 AND 120", "k > 400 AND k < 600", "k = 1 OR k = 2"):
+            assert sorted(one(routed(sharded, ix, w, "k").select("k"))) == sorted(one(d.where(w)))
+    assert len(route(spark, h, "k = 5", "k")) == 1 and route(spark, r, "k BETWEEN 50 AND 120", "k") == [0, 1] and route(spark, h, "k > 3", "k") is None
+    moved = sum(g.of(i) != RingIndex(["a", "b", "c", "d"]).of(i) for i in range(1000))
+    assert moved < 400
+
+
+def test_schema_triggers_normalise(spark):
+    from millrace.plans import triggers as tr
+    from millrace.plans.schema import ddl, parse_table, struct
+    from millrace.streaming.normalise import dated, feed_schema, webhook_changes
+
+    spec = {"id": "long#", "name": "string!", "tags": "string[]?", "n": "int@ = 3", "owner": "-> users", "posts": "<- posts.owner"}
+    assert [f.dataType.simpleString() for f in struct(spark, spec)] == ["bigint", "string", "array<string>", "int", "bigint"] and parse_table(spec)[1] == {"posts": "posts.owner"}
+    assert ddl("t", {"id": "long#", "n": "int@ = 3"}) == ["CREATE TABLE t (id INTEGER PRIMARY KEY, n INTEGER DEFAULT 3)", "CREATE INDEX t_n ON t (n)"]
+    d = Database(spark)
+    for s in ddl("t", {"id": "long#", "n": "int@ = 3"}) + ["CREATE TABLE log (row_id TEXT, event TEXT, row TEXT)", "CREATE TABLE kid (id INTEGER, t_id INTEGER)"]:
+        d.sql(s)
+    d.trigger("v", "before", "insert", "t", tr.validate("n > 0", "n must be positive"))
+    d.trigger("a", "after", "insert", "t", tr.audit("log", "insert"))
+    d.trigger("c", "after", "delete", "t", tr.cascade("kid", "t_id"))
+    d.sql("INSERT INTO t VALUES (1, 5), (2, 6)")
+    d.sql("INSERT INTO kid VALUES (1, 1), (2, 2)")
+    d.sql("DELETE FROM t WHERE id = 1")
+    assert one(d.sql("SELECT id FROM kid")) == [(2,)] and one(d.sql("SELECT count(*) FROM log")) == [(2,)]
+    with pytest.raises(tr.Refused):
+        d.sql("INSERT INTO t VALUES (3, -5)")
+    w = spark.createDataFrame([('{"type":"invoice.created","data":{"id":"i1"}}',), ('{"type":"invoice.deleted","data":{"id":"i1"}}',)], "body string")
+    assert one(webhook_changes(w, "body", "pay").select("table_name", "_cdc_row_id", "_cdc_operation")) == [("pay.invoice", "i1", "INSERT"), ("pay.invoice", "i1", "DELETE")]
+    p = spark.createDataFrame([('{"a":1,"b":"1","c":true,"d":[1]}',), ('{"a":1.5,"b":"x","e":null}',), (None,)], "after_json string")
+    assert dict(one(feed_schema(p)))["a"] == "double" and {k: v for k, v in one(feed_schema(p)) if k in "bcd"} == {"b": "string", "c": "boolean", "d": "string"}
+    assert dated(spark.createDataFrame([(datetime.datetime(2024, 3, 5),)], "t timestamp"), F.col("t")).select("year", "month", "day").first() == ("2024", "03", "05")
