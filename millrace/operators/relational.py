@@ -92,19 +92,39 @@ def groups_frame(df: DataFrame, partition: list[str], order: list[Column], start
 def excluding(df: DataFrame, partition: list[str], order: list[Column], frame: tuple[int, int], exclude: str, value: str, into: str) -> DataFrame:
     """sum, count, avg, min and max of value over a ROWS frame without part of it; columns into_sum, into_count, ...
 
-    exclude: 'current row', 'group' (the row and its peers), 'ties' (its peers only) or 'no others'. Frames are bounded, so that a frame's rows
-    can be held in an array.
+    exclude: 'current row', 'group' (the row and its peers), 'ties' (its peers only) or 'no others'. Without the current row, and without
+    peers of an unbounded frame, the frame is two frames whose aggregates are combined. Only peers within a bounded frame need its rows in an array, which is as
+    small as the frame.
     """
     w = W.partitionBy(*partition).orderBy(*order)
+    v, (lo, hi) = F.col(value), frame
+    unbounded = lo <= W.unboundedPreceding and hi >= W.unboundedFollowing
+    d = df
+    if exclude == "no others":
+        frames = [w.rowsBetween(lo, hi)]
+    elif exclude == "current row":
+        frames = ([w.rowsBetween(lo, min(-1, hi))] if lo < 0 else []) + ([w.rowsBetween(max(1, lo), hi)] if hi > 0 else [])
+    elif unbounded:
+        d = df.withColumn("__g", F.dense_rank().over(w))
+        g = W.partitionBy(*partition).orderBy("__g")
+        frames = [g.rangeBetween(W.unboundedPreceding, -1), g.rangeBetween(1, W.unboundedFollowing)]
+    else:
+        return _excluding_peers(df, w, frame, exclude, value, into)
+    own = [v] if exclude == "ties" else []
+    sums, counts = [F.sum(v).over(f) for f in frames] + own, [F.count(v).over(f) for f in frames] + [F.when(x.isNotNull(), 1).otherwise(0) for x in own]
+    lows, highs = [F.min(v).over(f) for f in frames] + own, [F.max(v).over(f) for f in frames] + own
+    nothing = F.lit(None).cast("double")
+    n = sum(counts, F.lit(0)).cast("int")
+    total = F.when(n > 0, sum((F.coalesce(x.cast("double"), F.lit(0.0)) for x in sums), F.lit(0.0)))
+    out = {"sum": total, "count": n, "avg": total / F.when(n > 0, n), "min": F.least(*lows, nothing), "max": F.greatest(*highs, nothing)}
+    return d.select(*df.columns, *[c.alias(f"{into}_{k}") for k, c in out.items()])
+
+
+def _excluding_peers(df: DataFrame, w, frame: tuple[int, int], exclude: str, value: str, into: str) -> DataFrame:
     d = df.withColumn("__n", F.row_number().over(w)).withColumn("__g", F.dense_rank().over(w))
-    items = F.collect_list(F.struct(F.col(value).alias("v"), F.col("__n").alias("n"), F.col("__g").alias("g"))).over(w.rowsBetween(*frame))
-    d = d.withColumn("__f", items)
-    keep = {
-        "current row": lambda x: x["n"] != F.col("__n"), "group": lambda x: x["g"] != F.col("__g"),
-        "ties": lambda x: (x["g"] != F.col("__g")) | (x["n"] == F.col("__n")), "no others": lambda x: F.lit(True),
-    }[exclude]
-    v = F.filter(F.transform(F.filter("__f", keep), lambda x: x["v"]), lambda x: x.isNotNull())
-    d = d.withColumn("__v", v)
+    d = d.withColumn("__f", F.collect_list(F.struct(F.col(value).alias("v"), F.col("__n").alias("n"), F.col("__g").alias("g"))).over(w.rowsBetween(*frame)))
+    keep = {"group": lambda x: x["g"] != F.col("__g"), "ties": lambda x: (x["g"] != F.col("__g")) | (x["n"] == F.col("__n"))}[exclude]
+    d = d.withColumn("__v", F.filter(F.transform(F.filter("__f", keep), lambda x: x["v"]), lambda x: x.isNotNull()))
     n = F.size("__v")
     total = F.when(n > 0, F.aggregate("__v", F.lit(0).cast("double"), lambda a, x: a + x))
     out = {"sum": total, "count": n, "avg": total / F.when(n > 0, n), "min": F.array_min("__v"), "max": F.array_max("__v")}

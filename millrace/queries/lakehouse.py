@@ -108,15 +108,15 @@ def _versions(s, d) -> LakeTable:
     """Customers in four versions: half, all, an update of some, some deleted."""
     cust = load(s, d, "customer").select("c_custkey", "c_acctbal")
     t = LakeTable.create(s, shared_path(s, "lake"), cust.schema)
-    t.append(cust.where("c_custkey % 2 = 0"))
-    t.append(cust.where("c_custkey % 2 = 1"))
-    t.overwrite(cust.withColumn("c_acctbal", F.expr("if(c_custkey % 5 = 0, c_acctbal + 100, c_acctbal)")))
-    t.overwrite(t.read().where("c_custkey % 7 <> 0"), operation="delete")
+    t.append(cust.where("c_acctbal < 4000"))
+    t.append(cust.where("c_acctbal >= 4000"))
+    t.overwrite(cust.withColumn("c_acctbal", F.expr("if(c_acctbal < 500, c_acctbal + 100, c_acctbal)")))
+    t.overwrite(t.read().where("c_acctbal < 9000"), operation="delete")
     return t
 
 
-op("snapshot_as_of", "SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 2 = 0")(lambda s, d: _versions(s, d).read(version=1))
-op("snapshot_latest", "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN c_acctbal + 100 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 7 <> 0")(lambda s, d: _versions(s, d).read())
+op("snapshot_as_of", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal < 4000")(lambda s, d: _versions(s, d).read(version=1))
+op("snapshot_latest", "SELECT c_custkey, CASE WHEN c_acctbal < 500 THEN c_acctbal + 100 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_acctbal < 9000")(lambda s, d: _versions(s, d).read())
 op("snapshot_list", "SELECT * FROM (VALUES (0, 'create', 0), (1, 'append', 1), (2, 'append', 2), (3, 'overwrite', 1), (4, 'delete', 1)) t(sequence_number, operation, directories)")(lambda s, d: _versions(s, d).snapshots().select("sequence_number", "operation", "directories"))
 
 
@@ -127,7 +127,7 @@ def _(s, d):
     return t.between(at[2], at[3]).groupBy("_version").agg(F.count("*").alias("n"))
 
 
-@op("version_diff", "SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'DELETE' ELSE 'UPDATE' END AS _change_type FROM customer WHERE c_custkey % 7 = 0 OR c_custkey % 5 = 0")
+@op("version_diff", "SELECT c_custkey, CASE WHEN c_acctbal >= 9000 THEN 'DELETE' ELSE 'UPDATE' END AS _change_type FROM customer WHERE c_acctbal >= 9000 OR c_acctbal < 500")
 def _(s, d):
     return _versions(s, d).diff(2, 4, ["c_custkey"]).select("c_custkey", "_change_type")
 
@@ -147,33 +147,33 @@ def _(s, d):
     return t.read()
 
 
-@op("lake_schema_evolution", "SELECT c_custkey, c_acctbal AS balance, CAST(CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE 'x' END AS VARCHAR) AS note FROM customer")
+@op("lake_schema_evolution", "SELECT c_custkey, c_acctbal AS balance, CAST(CASE WHEN c_acctbal < 4000 THEN NULL ELSE 'x' END AS VARCHAR) AS note FROM customer")
 def _(s, d):
     cust = load(s, d, "customer").select("c_custkey", "c_acctbal")
     t = LakeTable.create(s, shared_path(s, "lake"), cust.schema)
-    t.append(cust.where("c_custkey % 2 = 0"))
+    t.append(cust.where("c_acctbal < 4000"))
     t.alter(rename={"c_acctbal": "balance"}, add={"note": "string"})
-    t.append(cust.where("c_custkey % 2 = 1").select("c_custkey", c("c_acctbal").alias("balance"), lit("x").alias("note")))
+    t.append(cust.where("c_acctbal >= 4000").select("c_custkey", c("c_acctbal").alias("balance"), lit("x").alias("note")))
     return t.read()
 
 
-@op("branch_merge_rows", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 WHEN c_custkey % 3 = 1 THEN c_acctbal + 2 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 10 <> 8 OR c_custkey % 3 <> 2")
+@op("branch_merge_rows", "SELECT c_custkey, CASE WHEN c_acctbal < 2000 THEN c_acctbal + 1 WHEN c_acctbal < 5000 THEN c_acctbal + 2 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_acctbal < 8000")
 def _(s, d):
     cust = load(s, d, "customer").select("c_custkey", "c_acctbal")
     t = LakeTable.create(s, shared_path(s, "lake"), cust.schema)
     t.append(cust)
     t.branch("dev")
-    t.overwrite(cust.withColumn("c_acctbal", F.expr("if(c_custkey % 3 = 0, c_acctbal + 1, c_acctbal)")))
-    t.overwrite(cust.where("c_custkey % 10 <> 8 or c_custkey % 3 <> 2").withColumn("c_acctbal", F.expr("if(c_custkey % 3 = 1, c_acctbal + 2, c_acctbal)")), branch="dev")
+    t.overwrite(cust.withColumn("c_acctbal", F.expr("if(c_acctbal < 2000, c_acctbal + 1, c_acctbal)")))
+    t.overwrite(cust.where("c_acctbal < 8000").withColumn("c_acctbal", F.expr("if(c_acctbal >= 2000 and c_acctbal < 5000, c_acctbal + 2, c_acctbal)")), branch="dev")
     t.merge("dev", ["c_custkey"])
     return t.read()
 
 
-@op("branch_conflicts", "SELECT count(*) FILTER (WHERE c_custkey % 6 = 0) AS conflicts, count(*) FILTER (WHERE c_custkey % 2 = 0 AND c_custkey % 3 <> 0) AS ours, count(*) FILTER (WHERE c_custkey % 3 = 0 AND c_custkey % 2 <> 0) AS theirs FROM customer")
+@op("branch_conflicts", "SELECT count(*) FILTER (WHERE c_acctbal BETWEEN 2000 AND 5000) AS conflicts, count(*) FILTER (WHERE c_acctbal < 2000) AS ours, count(*) FILTER (WHERE c_acctbal > 5000) AS theirs FROM customer")
 def _(s, d):
     base = load(s, d, "customer").select("c_custkey", "c_acctbal")
-    ours = base.withColumn("c_acctbal", F.expr("if(c_custkey % 2 = 0, c_acctbal + 1, c_acctbal)"))
-    theirs = base.withColumn("c_acctbal", F.expr("if(c_custkey % 3 = 0, c_acctbal + 2, c_acctbal)"))
+    ours = base.withColumn("c_acctbal", F.expr("if(c_acctbal <= 5000, c_acctbal + 1, c_acctbal)"))
+    theirs = base.withColumn("c_acctbal", F.expr("if(c_acctbal >= 2000, c_acctbal + 2, c_acctbal)"))
     return three_way_merge(base, ours, theirs, ["c_custkey"]).agg(*[F.count(F.when(c("_side") == k, 1)).alias(n) for k, n in (("conflict", "conflicts"), ("ours", "ours"), ("theirs", "theirs"))])
 
 
@@ -190,61 +190,61 @@ def _db(s, d, *tables: str) -> Database:
 def _customers(s, d) -> Database:
     db = _db(s, d, "customer", "nation")
     db.sql("CREATE TABLE cust (id INTEGER PRIMARY KEY, name TEXT NOT NULL, nation INTEGER, bal REAL DEFAULT 0, seg TEXT, CHECK (id >= 0))")
-    db.sql("INSERT INTO cust SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 3 <> 0")
+    db.sql("INSERT INTO cust SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_mktsegment <> 'BUILDING'")
     return db
 
 
-@op("dml_insert_select", "SELECT c_custkey AS id, c_name AS name, c_acctbal AS bal FROM customer WHERE c_custkey % 3 <> 0")
+@op("dml_insert_select", "SELECT c_custkey AS id, c_name AS name, c_acctbal AS bal FROM customer WHERE c_mktsegment <> 'BUILDING'")
 def _(s, d):
     return _customers(s, d).sql("SELECT id, name, bal FROM cust")
 
 
-@op("dml_upsert", "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 1.0 WHEN c_custkey % 2 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS bal FROM customer")
+@op("dml_upsert", "SELECT c_custkey AS id, CASE WHEN c_mktsegment = 'BUILDING' THEN 1.0 WHEN c_nationkey > 12 THEN c_acctbal + 1 ELSE c_acctbal END AS bal FROM customer")
 def _(s, d):
     db = _customers(s, d)
-    db.sql("INSERT INTO cust (id, name, bal) SELECT c_custkey, c_name, 1.0 FROM customer WHERE TRUE ON CONFLICT (id) DO UPDATE SET bal = bal + excluded.bal WHERE cust_is_even(id)".replace("cust_is_even(id)", "id % 2 = 0"))
+    db.sql("INSERT INTO cust (id, name, bal) SELECT c_custkey, c_name, 1.0 FROM customer WHERE TRUE ON CONFLICT (id) DO UPDATE SET bal = bal + excluded.bal WHERE nation > 12")
     return db.sql("SELECT id, bal FROM cust")
 
 
-@op("dml_insert_or_ignore", "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 5.0 ELSE c_acctbal END AS bal FROM customer")
+@op("dml_insert_or_ignore", "SELECT c_custkey AS id, CASE WHEN c_mktsegment = 'BUILDING' THEN 5.0 ELSE c_acctbal END AS bal FROM customer")
 def _(s, d):
     db = _customers(s, d)
     db.sql("INSERT OR IGNORE INTO cust (id, name, bal) SELECT c_custkey, c_name, 5.0 FROM customer")
     return db.sql("SELECT id, bal FROM cust")
 
 
-@op("dml_replace", "SELECT c_custkey AS id, CASE WHEN c_custkey < 100 THEN 7.0 ELSE c_acctbal END AS bal FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey < 100")
+@op("dml_replace", "SELECT c_custkey AS id, CASE WHEN c_custkey < 100 THEN 7.0 ELSE c_acctbal END AS bal FROM customer WHERE c_mktsegment <> 'BUILDING' OR c_custkey < 100")
 def _(s, d):
     db = _customers(s, d)
     db.sql("REPLACE INTO cust (id, name, bal) SELECT c_custkey, c_name, 7.0 FROM customer WHERE c_custkey < 100")
     return db.sql("SELECT id, bal FROM cust")
 
 
-@op("dml_update_returning", "SELECT c_custkey AS id, c_acctbal * 2 AS bal FROM customer WHERE c_custkey % 3 <> 0 AND c_mktsegment = 'BUILDING'")
+@op("dml_update_returning", "SELECT c_custkey AS id, c_acctbal * 2 AS bal FROM customer WHERE c_mktsegment <> 'BUILDING' AND c_mktsegment = 'MACHINERY'")
 def _(s, d):
-    return _customers(s, d).sql("UPDATE cust SET bal = bal * 2 WHERE seg = 'BUILDING' RETURNING id, bal")
+    return _customers(s, d).sql("UPDATE cust SET bal = bal * 2 WHERE seg = 'MACHINERY' RETURNING id, bal")
 
 
-@op("dml_update_from", "SELECT c_custkey AS id, n_name AS seg FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 3 <> 0")
+@op("dml_update_from", "SELECT c_custkey AS id, n_name AS seg FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment <> 'BUILDING'")
 def _(s, d):
     db = _customers(s, d)
     db.sql("UPDATE cust SET seg = n.n_name FROM nation n WHERE cust.nation = n.n_nationkey")
     return db.sql("SELECT id, seg FROM cust")
 
 
-@op("dml_delete", "SELECT c_custkey AS id FROM customer WHERE c_custkey % 3 <> 0 AND NOT (c_acctbal < 0)")
+@op("dml_delete", "SELECT c_custkey AS id FROM customer WHERE c_mktsegment <> 'BUILDING' AND NOT (c_acctbal < 0)")
 def _(s, d):
     db = _customers(s, d)
     db.sql("DELETE FROM cust WHERE bal < 0")
     return db.sql("SELECT id FROM cust")
 
 
-@op("dml_delete_limit_returning", "SELECT c_custkey AS id FROM customer WHERE c_custkey % 3 <> 0 ORDER BY c_acctbal DESC, c_custkey LIMIT 10")
+@op("dml_delete_limit_returning", "SELECT c_custkey AS id FROM customer WHERE c_mktsegment <> 'BUILDING' ORDER BY c_acctbal DESC, c_custkey LIMIT 10")
 def _(s, d):
     return _customers(s, d).sql("DELETE FROM cust WHERE TRUE ORDER BY bal DESC, id LIMIT 10 RETURNING id")
 
 
-@op("ddl_alter", "SELECT c_custkey AS id, c_acctbal AS balance, 'new' AS tag FROM customer WHERE c_custkey % 3 <> 0")
+@op("ddl_alter", "SELECT c_custkey AS id, c_acctbal AS balance, 'new' AS tag FROM customer WHERE c_mktsegment <> 'BUILDING'")
 def _(s, d):
     db = _customers(s, d)
     db.sql("ALTER TABLE cust RENAME COLUMN bal TO balance")
@@ -253,7 +253,7 @@ def _(s, d):
     return db.sql("SELECT id, balance, tag FROM cust")
 
 
-@op("ddl_transaction_rollback", "SELECT count(*) AS n FROM customer WHERE c_custkey % 3 <> 0")
+@op("ddl_transaction_rollback", "SELECT count(*) AS n FROM customer WHERE c_mktsegment <> 'BUILDING'")
 def _(s, d):
     db = _customers(s, d)
     db.sql("BEGIN")
@@ -262,14 +262,14 @@ def _(s, d):
     return db.sql("SELECT count(*) AS n FROM cust")
 
 
-@op("time_travel_sql", "SELECT count(*) AS now, (SELECT count(*) FROM customer WHERE c_custkey % 3 <> 0) AS before FROM customer WHERE c_custkey % 3 <> 0 AND c_nationkey <> 3")
+@op("time_travel_sql", "SELECT count(*) AS now, (SELECT count(*) FROM customer WHERE c_mktsegment <> 'BUILDING') AS before FROM customer WHERE c_mktsegment <> 'BUILDING' AND c_nationkey <> 3")
 def _(s, d):
     db = _customers(s, d)
     db.sql("DELETE FROM cust WHERE nation = 3")
     return db.sql("SELECT (SELECT count(*) FROM cust) AS now, (SELECT count(*) FROM cust AS OF VERSION 1) AS before")
 
 
-@op("view_expand", "SELECT seg, count(*) AS n FROM (SELECT c_mktsegment AS seg FROM customer WHERE c_custkey % 3 <> 0 AND c_acctbal > 0) GROUP BY seg")
+@op("view_expand", "SELECT seg, count(*) AS n FROM (SELECT c_mktsegment AS seg FROM customer WHERE c_mktsegment <> 'BUILDING' AND c_acctbal > 0) GROUP BY seg")
 def _(s, d):
     db = _customers(s, d)
     db.sql("CREATE VIEW rich AS SELECT * FROM cust WHERE bal > 0")
@@ -296,7 +296,7 @@ def _(s, d):
     return load(s, d, "documents").where("not (rating between 1 and 5)").select("doc_id", "rating")
 
 
-@op("attach_query", "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 3 <> 0 GROUP BY n_name")
+@op("attach_query", "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment <> 'BUILDING' GROUP BY n_name")
 def _(s, d):
     db, other = _customers(s, d), _db(s, d, "nation")
     db.attach("geo", other)
@@ -334,7 +334,7 @@ def _(s, d):
     return s.sql("SELECT n_nationkey, t.i FROM mr_nation, LATERAL upto(n_regionkey) t")
 
 
-@op("procedure_call", "SELECT c_custkey FROM customer WHERE c_nationkey = 5 AND c_custkey % 3 <> 0")
+@op("procedure_call", "SELECT c_custkey FROM customer WHERE c_nationkey = 5 AND c_mktsegment <> 'BUILDING'")
 def _(s, d):
     db = _customers(s, d)
     db.procedure("of_nation", lambda base, n: base.sql("SELECT id AS c_custkey FROM cust WHERE nation = ?", [n]))
@@ -351,10 +351,10 @@ def _(s, d):
     return cl.latest_state(load(s, d, "cdc_events"), ["table_name", "_cdc_row_id"]).groupBy("table_name").agg(F.count("*").alias("n"))
 
 
-@op("cdc_filter_ops", f"SELECT delivery_id FROM cdc_events WHERE delivery_id > 1000 AND {_OP} IN ('delete', 'update') AND table_name LIKE '%orders'")
+@op("cdc_filter_ops", f"SELECT delivery_id FROM cdc_events WHERE delivery_id > 10 AND {_OP} IN ('delete', 'update') AND table_name LIKE '%orders'")
 def _(s, d):
     log = load(s, d, "cdc_events").select("delivery_id", c("delivery_id").alias("lsn"), cl.operation(c("_cdc_operation")).alias("op"), "table_name")
-    return cl.Subscription(1000, ops=["delete", "update"], where="table_name like '%orders'").apply(log).select("delivery_id")
+    return cl.Subscription(10, ops=["delete", "update"], where="table_name like '%orders'").apply(log).select("delivery_id")
 
 
 @op("cdc_committed_only", "SELECT delivery_id AS lsn FROM cdc_events WHERE batch_no % 3 <> 0")

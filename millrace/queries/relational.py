@@ -86,8 +86,8 @@ both("kleene_logic", "SELECT count(CASE WHEN (lang = 'en') IS NULL THEN 1 END) A
 both("join_inner", "SELECT o.o_orderkey, c.c_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE c.c_acctbal > 8000")
 both("join_left", "SELECT c.c_custkey, count(o.o_orderkey) AS n FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_totalprice > 200000 GROUP BY c.c_custkey")
 both("join_right", "SELECT n.n_name, count(s.s_suppkey) AS n FROM supplier s RIGHT JOIN nation n ON s.s_nationkey = n.n_nationkey AND s.s_acctbal > 5000 GROUP BY n.n_name")
-both("join_full", """SELECT a.k AS ak, b.k AS bk FROM (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderkey % 3 = 0) a
-FULL JOIN (SELECT c_custkey AS k FROM customer WHERE c_nationkey < 10) b ON a.k = b.k""")
+both("join_full", """SELECT a.k AS ak, b.k AS bk FROM (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_totalprice > 150000) a
+FULL JOIN (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 1000) b ON a.k = b.k""")
 both("join_cross", "SELECT r.r_name, count(*) AS n FROM region r CROSS JOIN nation n GROUP BY r.r_name")
 both("join_comma_where", "SELECT n.n_name, r.r_name FROM nation n, region r WHERE n.n_regionkey = r.r_regionkey")
 both("join_self", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
@@ -95,7 +95,7 @@ both("join_theta", "SELECT a.n_name, count(*) AS n FROM nation a JOIN nation b O
 both("join_multi_key", "SELECT a.l_orderkey, a.l_linenumber, b.l_partkey FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber WHERE a.l_quantity > 45")
 both("join_semi", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
 both("join_anti", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
-both("join_null_keys", "SELECT count(*) AS n FROM (SELECT CASE WHEN doc_id % 2 = 0 THEN doc_id END AS k FROM documents) a JOIN (SELECT CASE WHEN doc_id % 3 = 0 THEN doc_id END AS k FROM documents) b ON a.k = b.k")
+both("join_null_keys", "SELECT count(*) AS n FROM (SELECT CASE WHEN lang = 'en' THEN doc_id END AS k FROM documents) a JOIN (SELECT CASE WHEN rating > 2 THEN doc_id END AS k FROM documents) b ON a.k = b.k")
 both("join_using", "SELECT n_regionkey, count(*) AS n FROM nation JOIN (SELECT r_regionkey AS n_regionkey FROM region WHERE r_regionkey < 3) r USING (n_regionkey) GROUP BY n_regionkey")
 both("join_natural", "SELECT count(*) AS n FROM nation NATURAL JOIN (SELECT n_nationkey, 1 AS flag FROM nation WHERE n_regionkey = 1) x")
 both("join_lateral", "SELECT c.c_custkey, o.o_orderkey, o.o_totalprice FROM customer c, LATERAL (SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = c.c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) o")
@@ -119,17 +119,18 @@ def _(s, d):
 @op("join_version_diff", """SELECT k, v, _change_type FROM (
 SELECT coalesce(b.c_custkey, a.c_custkey) AS k, CASE WHEN b.c_custkey IS NULL THEN a.v ELSE b.v END AS v,
 CASE WHEN a.c_custkey IS NULL THEN 'INSERT' WHEN b.c_custkey IS NULL THEN 'DELETE' WHEN a.v IS DISTINCT FROM b.v THEN 'UPDATE' END AS _change_type
-FROM (SELECT c_custkey, c_acctbal AS v FROM customer WHERE c_custkey % 10 <> 1) a
-FULL JOIN (SELECT c_custkey, CASE WHEN c_custkey % 10 = 2 THEN c_acctbal + 1 ELSE c_acctbal END AS v FROM customer WHERE c_custkey % 10 <> 3) b ON a.c_custkey = b.c_custkey) WHERE _change_type IS NOT NULL""")
+FROM (SELECT c_custkey, c_acctbal AS v FROM customer WHERE c_mktsegment <> 'BUILDING') a
+FULL JOIN (SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN c_acctbal + 1 ELSE c_acctbal END AS v FROM customer WHERE c_mktsegment <> 'MACHINERY') b ON a.c_custkey = b.c_custkey) WHERE _change_type IS NOT NULL""")
 def _(s, d):
-    c = load(s, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
-    return version_diff(c.where("k % 10 <> 1"), c.where("k % 10 <> 3").withColumn("v", F.expr("if(k % 10 = 2, v + 1, v)")), ["k"])
+    c = load(s, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"), "c_mktsegment")
+    old, new = c.where("c_mktsegment <> 'BUILDING'").drop("c_mktsegment"), c.where("c_mktsegment <> 'MACHINERY'").drop("c_mktsegment")
+    return version_diff(old, new.withColumn("v", F.expr("if(v < 0, v + 1, v)")), ["k"])
 
 
-@op("merge_hot_cold", "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN c_acctbal + 5 ELSE c_acctbal END AS bal FROM customer")
+@op("merge_hot_cold", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN c_acctbal + 5 ELSE c_acctbal END AS bal FROM customer")
 def _(s, d):
     c = load(s, d, "customer").select("c_custkey", F.col("c_acctbal").alias("bal"))
-    hot = c.where("c_custkey % 4 = 0").withColumn("bal", F.col("bal") + 5).withColumn("version", F.lit(2))
+    hot = c.where("bal < 0").withColumn("bal", F.col("bal") + 5).withColumn("version", F.lit(2))
     return merge_sorted([c.withColumn("version", F.lit(1)), hot], [F.col("c_custkey")], ["c_custkey"], "version").select("c_custkey", "bal")
 
 
@@ -214,9 +215,9 @@ _EX = "SELECT p_partkey, round(CAST(sum(p_retailprice) OVER w AS DOUBLE), 4) AS
 for _name, _kind in (("win_exclude_current", "current row"), ("win_exclude_no_others", "no others")):
     op(_name, _EX.format(_kind.upper()))(lambda s, d, k=_kind: excluding(load(s, d, "part"), ["p_brand"], [F.col("p_size"), F.col("p_partkey")], (-3, 3), k, "p_retailprice", "x").select("p_partkey", F.round("x_sum", 4).alias("x_sum"), "x_count", "x_min"))
 # Peers only matter if the order has ties: a frame over all rows, ordered by size alone.
-_TIES = "SELECT c_custkey, CAST(count(c_acctbal) OVER w AS INTEGER) AS x_count, max(c_acctbal) OVER w AS x_max FROM customer WHERE c_nationkey < 3 WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_mktsegment ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE {})"
+_TIES = "SELECT c_custkey, CAST(count(c_acctbal) OVER w AS INTEGER) AS x_count, max(c_acctbal) OVER w AS x_max FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_mktsegment ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE {})"
 for _name, _kind in (("win_exclude_group", "group"), ("win_exclude_ties", "ties")):
-    op(_name, _TIES.format(_kind.upper()))(lambda s, d, k=_kind: excluding(load(s, d, "customer").where("c_nationkey < 3"), ["c_nationkey"], [F.col("c_mktsegment")], (W.unboundedPreceding, W.unboundedFollowing), k, "c_acctbal", "x").select("c_custkey", "x_count", "x_max"))
+    op(_name, _TIES.format(_kind.upper()))(lambda s, d, k=_kind: excluding(load(s, d, "customer"), ["c_nationkey"], [F.col("c_mktsegment")], (W.unboundedPreceding, W.unboundedFollowing), k, "c_acctbal", "x").select("c_custkey", "x_count", "x_max"))
 
 # Sort and top-k: the place in the order is a column, as results are compared without order.
 both("topk_offset", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5")
