@@ -90,7 +90,7 @@ class MessageStore:
 
     def _write(self, rows: DataFrame, path: str) -> None:
         b = F.pmod(F.xxhash64(*self.identifier), F.lit(self.buckets)).cast("int")
-        rows.withColumn("bucket", b).repartition(self.buckets, "bucket").sortWithinPartitions("bucket", *self.identifier, self.order).write.mode("overwrite").partitionBy("bucket").parquet(path)
+        rows.withColumn("mr_bucket", b).repartition(self.buckets, "mr_bucket").sortWithinPartitions("mr_bucket", *self.identifier, self.order).write.mode("overwrite").partitionBy("mr_bucket").parquet(path)
 
     def _one(self, rows: DataFrame) -> DataFrame:
         rest = [c for c in rows.columns if c not in (*self.identifier, self.order)]
@@ -101,13 +101,13 @@ class MessageStore:
         """Rows with a null identifier can't be matched and are refused with ValueError."""
         if batch_rows.where(" or ".join(f"`{c}` is null" for c in self.identifier)).limit(1).count():
             raise ValueError("a row has no identifier")
-        self._write(self._one(batch_rows), f"{self.path}/run={batch or uuid.uuid4().hex}")
+        self._write(self._one(batch_rows), f"{self.path}/mr_run={batch or uuid.uuid4().hex}")
 
     def read(self) -> DataFrame:
-        return self._one(self.spark.read.parquet(self.path).drop("run", "bucket"))
+        return self._one(self.spark.read.parquet(self.path).drop("mr_run", "mr_bucket"))
 
     def compacted(self, path: str) -> "MessageStore":
-        self._write(self.read(), f"{path}/run=merged")
+        self._write(self.read(), f"{path}/mr_run=merged")
         return MessageStore(self.spark, path, self.identifier, self.order, self.buckets)
 
 

@@ -24,7 +24,7 @@ from ..session import durable, load
 
 KINDS = ("string", "number", "boolean", "object", "array")
 SKETCH = 32  # lowest value hashes kept of a field
-BLOCK = 1024  # snapshots of a table that are ordered together
+BLOCK_BITS = 10  # 1024 numbers of a table are ordered together
 FLUSH = 200_000  # fields a task holds before it sends them on
 
 
@@ -106,7 +106,7 @@ def following(steps: DataFrame) -> DataFrame:
 
     Numbers are ordered within blocks; the last of a block is followed by the first of the next block there is.
     """
-    b = steps.withColumn("block", F.floor(F.col("no") / BLOCK))
+    b = steps.withColumn("block", F.shiftright("no", BLOCK_BITS))
     inner = b.withColumn("next", F.lead("no").over(W.partitionBy("table_name", "block").orderBy("no")))
     firsts = b.groupBy("table_name", "block").agg(F.min("no").alias("first"))
     outer = firsts.withColumn("next_block", F.lead("first").over(W.partitionBy("table_name").orderBy("block"))).drop("first")

@@ -16,11 +16,12 @@ from ..session import load, shared_path
 from .compaction import _fs
 from .values import status
 
-BLOCK = 4096
+BITS = 12
+BLOCK = 1 << BITS
 
 
 def _block(x: Column) -> Column:
-    return F.floor(x / F.lit(BLOCK)).cast("bigint")
+    return F.shiftright(x, BITS)
 
 
 def cut_intervals(intervals: DataFrame, key: list[str], lo: str = "lo", hi: str = "hi") -> DataFrame:
@@ -122,10 +123,9 @@ class IntervalLedger:
 
     def pending(self, rows: DataFrame, source: str, sequence: str) -> DataFrame:
         """Rows whose number no committed run holds, late ones in earlier gaps too."""
-        numbered = rows.withColumnRenamed(source, "source")
-        iv = self.done()
-        keep = numbered.join(covered_by(numbered.select("source", sequence).distinct(), iv, ["source"], sequence), ["source", sequence], "left_anti")
-        return keep.withColumnRenamed("source", source).select(*rows.columns)
+        ids = rows.select(F.col(source).alias("source"), F.col(sequence).alias("__n")).distinct()
+        old = covered_by(ids, self.done(), ["source"], "__n").select(F.col("source").alias("__s"), "__n")
+        return rows.join(old, (F.col(source) == F.col("__s")) & (F.col(sequence) == F.col("__n")), "left_anti")
 
     def commit(self, run_id: str, output: DataFrame, source: str, sequence: str, fail_before_commit: bool = False) -> bool:
         """Write a run's output and the merged intervals, then make both count. False if that run was committed already."""

@@ -66,19 +66,19 @@ class EqualityDeleteTable:
         """Deletes first, then inserts: a reader between the two misses rows of this batch but never sees a replaced one twice."""
         batch = batch or uuid.uuid4().hex
         data, deletes = split_changes(events, self.key, payload=self.payload)
-        deletes.write.mode("overwrite").parquet(f"{self.path}/deletes/batch={batch}")
-        data.write.mode("overwrite").parquet(f"{self.path}/data/batch={batch}")
+        deletes.write.mode("overwrite").parquet(f"{self.path}/deletes/mr_batch={batch}")
+        data.write.mode("overwrite").parquet(f"{self.path}/data/mr_batch={batch}")
 
     def read(self) -> DataFrame:
-        data = self.spark.read.parquet(f"{self.path}/data").drop("batch")
-        deletes = self.spark.read.parquet(f"{self.path}/deletes").drop("batch").groupBy(*self.key).agg(F.max("__reach").alias("__reach"))
+        data = self.spark.read.parquet(f"{self.path}/data").drop("mr_batch")
+        deletes = self.spark.read.parquet(f"{self.path}/deletes").drop("mr_batch").groupBy(*self.key).agg(F.max("__reach").alias("__reach"))
         best = data.groupBy(*self.key).agg(F.max(F.struct("_cdc_sequence", *self.payload)).alias("r")).select(*self.key, "r.*")
         return read_current(best, deletes, self.key)
 
     def compacted(self, path: str) -> "EqualityDeleteTable":
         """The same table, folded, at another path."""
-        self.read().write.mode("overwrite").parquet(f"{path}/data/batch=compact")
-        self.spark.read.parquet(f"{self.path}/deletes").drop("batch").groupBy(*self.key).agg(F.max("__reach").alias("__reach")).write.mode("overwrite").parquet(f"{path}/deletes/batch=compact")
+        self.read().write.mode("overwrite").parquet(f"{path}/data/mr_batch=compact")
+        self.spark.read.parquet(f"{self.path}/deletes").drop("mr_batch").groupBy(*self.key).agg(F.max("__reach").alias("__reach")).write.mode("overwrite").parquet(f"{path}/deletes/mr_batch=compact")
         return EqualityDeleteTable(self.spark, path, self.key, self.payload)
 
 
