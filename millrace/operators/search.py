@@ -11,7 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import ArrayType, StringType
 
+from ..functions.stem import stem
 from ..functions.vectors import METRICS
 
 K1, B = 1.2, 0.75
@@ -19,7 +21,9 @@ PATTERNS = {"simple": r"(\w+)", "unicode61": r"([\p{L}\p{N}]+)"}
 
 
 def tokens(text: Column, tokenizer: str = "unicode61") -> Column:
-    """An array of a text's words in lower case; of trigram, its overlapping threes of characters. Null texts have none."""
+    """An array of a text's words in lower case (porter: their stems); of trigram, its overlapping threes of characters. Null texts have none."""
+    if tokenizer == "porter":
+        return _stems(tokens(text))
     x = F.coalesce(F.lower(text), F.lit(""))
     if tokenizer == "trigram":
         n = F.char_length(x)
@@ -27,6 +31,17 @@ def tokens(text: Column, tokenizer: str = "unicode61") -> Column:
     return F.regexp_extract_all(x, F.lit(PATTERNS[tokenizer]), 1)
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _stems(words: pd.Series) -> pd.Series:
+    known: dict[str, str] = {}
+    return pd.Series([[known.get(w) or known.setdefault(w, stem(w)) for w in ws] for ws in words])
+
+
+def stemmed(n: "Node") -> "Node":
+    """A query with its words (but not prefixes) as stems."""
+    return Node(n.kind, n.words if n.kind == "prefix" else tuple(map(stem, n.words)), tuple(map(stemmed, n.parts)), n.distance, n.column)
+
+
 def postings(docs: DataFrame, key: str, columns: list[str], tokenizer: str = "unicode61") -> DataFrame:
     """key, column, pos, term for every word."""
     out = None
@@ -168,10 +183,11 @@ def match(docs: DataFrame, query: str, columns: list[str], tokenizer: str = "uni
     d = docs
     for c in columns:
         d = d.withColumn(f"__t_{c}", tokens(F.col(c), tokenizer))
-    return d.where(_holds(parse_query(query), t)).select(*docs.columns)
+    n = parse_query(query)
+    return d.where(_holds(stemmed(n) if tokenizer == "porter" else n, t)).select(*docs.columns)
 
 
-def terms_of(query: str) -> list[str]:
+def terms_of(query: str, tokenizer: str = "unicode61") -> list[str]:
     """Words of a query that count for ranking (not those it excludes)."""
 
     def walk(n: Node):
@@ -183,7 +199,8 @@ def terms_of(query: str) -> list[str]:
         elif n.kind != "prefix":
             yield from n.words
 
-    return list(dict.fromkeys(walk(parse_query(query))))
+    found = walk(parse_query(query))
+    return list(dict.fromkeys(map(stem, found) if tokenizer == "porter" else found))
 
 
 def _frequencies(docs: DataFrame, key: str, columns: list[str], terms: list[str], tokenizer: str) -> DataFrame:
@@ -199,7 +216,7 @@ def bm25(docs: DataFrame, key: str, columns: list[str], query: str, weights: dic
 
     idf is ln((N - df + 0.5) / (df + 0.5) + 1), where df counts (document, column) pairs; a document's length is that of all columns together.
     """
-    terms = terms_of(query)
+    terms = terms_of(query, tokenizer)
     f = _frequencies(docs, key, columns, terms, tokenizer)
     hits = match(docs, query, columns, tokenizer).select(key)
     df = [sum((F.count(F.when(F.col(f"tf_{i}_{k}") > 0, 1)) for i in range(len(columns))), F.lit(0)).alias(f"df_{k}") for k in range(len(terms))]
@@ -217,7 +234,7 @@ def bm25(docs: DataFrame, key: str, columns: list[str], query: str, weights: dic
 
 def tfidf(docs: DataFrame, key: str, columns: list[str], query: str, tokenizer: str = "unicode61") -> DataFrame:
     """key and the sum of tf / length * ln(N / df) over the query's terms, of documents it holds for."""
-    terms = terms_of(query)
+    terms = terms_of(query, tokenizer)
     f = _frequencies(docs, key, columns, terms, tokenizer)
     hits = match(docs, query, columns, tokenizer).select(key)
     tf = [sum((F.col(f"tf_{i}_{k}") for i in range(len(columns))), F.lit(0)) for k in range(len(terms))]
@@ -248,17 +265,6 @@ def snippet(text: Column, query: str, size: int = 12, ellipsis: str = "...") ->
     return F.concat(F.when(best > 1, ellipsis).otherwise(""), body, F.when(best + size <= F.size(w), ellipsis).otherwise(""))
 
 
-def porter_stem(word: str) -> str:
-    """A light suffix stripper in the manner of Porter's first steps: plurals, -ed, -ing, -ly, -ness, -ment."""
-    w = word.lower()
-    for end, to in (("sses", "ss"), ("ies", "i"), ("ness", ""), ("ment", ""), ("ing", ""), ("ed", ""), ("ly", ""), ("s", "")):
-        if w.endswith(end) and not (end == "s" and w.endswith("ss")):
-            stem = w[: -len(end)] + to
-            if len(stem) > 2 and re.search("[aeiouy]", stem):
-                return stem[:-1] if end in ("ing", "ed") and len(stem) > 3 and stem[-1] == stem[-2] and stem[-1] not in "lsz" else stem
-    return w
-
-
 def knn(vectors: DataFrame, query: list[float], k: int, metric: str = "cos", vector: str = "embedding", key: str = "vec_id", where: str | None = None) -> DataFrame:
     """The k nearest rows of one vector, exactly, with distance; ties by key. where is applied before. Rows of another length, and nulls, are left out."""
     q = F.array(*[F.lit(float(x)) for x in query])

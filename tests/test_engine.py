@@ -269,3 +269,14 @@ def test_schema_triggers_normalise(spark):
     p = spark.createDataFrame([('{"a":1,"b":"1","c":true,"d":[1]}',), ('{"a":1.5,"b":"x","e":null}',), (None,)], "after_json string")
     assert dict(one(feed_schema(p)))["a"] == "double" and {k: v for k, v in one(feed_schema(p)) if k in "bcd"} == {"b": "string", "c": "boolean", "d": "string"}
     assert dated(spark.createDataFrame([(datetime.datetime(2024, 3, 5),)], "t timestamp"), F.col("t")).select("year", "month", "day").first() == ("2024", "03", "05")
+
+
+def test_porter(spark):
+    from millrace.functions.stem import stem
+    from millrace.operators.search import bm25
+
+    words = "caresses ponies cats agreed plastered motoring conflated hopping falling filing happy relational conditional vietnamization triplicate hopefulness allowance adjustable probate rate controlling".split()
+    assert [stem(w) for w in words] == "caress poni cat agre plaster motor conflat hop fall file happi relat condit vietnam triplic hope allow adjust probat rate control".split()
+    d = spark.createDataFrame([(1, "She was hopping"), (2, "hops and cats"), (3, None)], "id int, text string")
+    assert [r[0] for r in match(d, "hopped cat*", ["text"], "porter").collect()] == [2]
+    assert sorted(r[0] for r in bm25(d, "id", ["text"], "hopping", tokenizer="porter").collect()) == [1, 2]
