@@ -1,8 +1,8 @@
 """Consolidating very many small files.
 
 plan_rewrites() finds, in the metadata of lake tables, the files worth rewriting and says which target file each goes to; rewrite()
-and compact_directory() move the records. Both range-partition on the clustering keys (Spark samples the keys for the boundaries), aim
-at target_bytes a file and sort within. compact_directory() swaps directories only after counts and checksums agree.
+moves the records there and reports what of the plan it couldn't. compact_directory() range-partitions a directory on the clustering keys
+(Spark samples the keys for the boundaries), aims at target_bytes a file, sorts within, and swaps only after counts and checksums agree.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import durable
 from .values import integer
 
 SMALL = 8 * 1024 * 1024
@@ -153,16 +154,70 @@ def compact_directory(spark: SparkSession, path: str, keys: list[str], target: i
     return done
 
 
-def rewrite(records: DataFrame, plan: DataFrame, keys: list[str], out: str, target: int = TARGET, bytes_per_row: int = 512) -> DataFrame:
-    """Write the records of a plan's files (joined by table_name and file_path) as larger sorted files under out; a report by table.
+def current_files(data_files: DataFrame, snapshots: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """Where the records of replaced files are now: table_name, file_path, in_file.
 
-    Columns: table_name, small_files, rows_before, rows_after, reconciled. Rows and a checksum are compared for each table.
+    A snapshot of operation replace moves the records of the files it deletes to the one file it adds in the same partition; that may be
+    replaced in turn, so each round doubles the steps every file has gone. Where such a snapshot adds several files in a partition, nobody
+    can tell which holds what, and the trail ends. RuntimeError if it goes in a circle.
     """
-    spark = records.sparkSession
-    part = records.join(plan.select("table_name", "file_path").distinct(), ["table_name", "file_path"], "left_semi")
-    h = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(records.columns)]).cast("decimal(20,0)")
-    before = part.groupBy("table_name").agg(F.count("*").alias("rows_before"), F.sum(h).alias("c0"), F.count_distinct("file_path").alias("small_files"))
-    n = part.count()
-    clustered(part, keys, math.ceil(n * bytes_per_row / target)).write.mode("overwrite").parquet(out)
-    after = spark.read.parquet(out).groupBy("table_name").agg(F.count("*").alias("rows_after"), F.sum(h).alias("c1"))
-    return before.join(after, "table_name", "full").select("table_name", "small_files", "rows_before", "rows_after", (F.col("rows_before").eqNullSafe(F.col("rows_after")) & F.col("c0").eqNullSafe(F.col("c1"))).alias("reconciled"))
+    added, deleted = F.col("status") == 1, F.col("status") == 2
+    files = data_files.where("table_name is not null and file_path is not null").groupBy("table_name", "file_path").agg(
+        F.max(F.when(added, F.col("snapshot_id"))).alias("added_by"), F.max(F.when(deleted, F.col("snapshot_id"))).alias("deleted_by"), F.max("partition_path").alias("p"))
+    replaces = snapshots.where(F.lower(F.trim("operation")) == "replace").select("table_name", F.col("snapshot_id").alias("deleted_by")).distinct()
+    gone = files.where("deleted_by is not null").join(replaces, ["table_name", "deleted_by"], "left_semi").alias("g")
+    made = files.where("added_by is not null").groupBy("table_name", "added_by", "p").agg(F.min("file_path").alias("in_file"), F.count("*").alias("n")).where("n = 1").alias("m")
+    on = (F.col("g.table_name") == F.col("m.table_name")) & (F.col("g.deleted_by") == F.col("m.added_by")) & F.col("g.p").eqNullSafe(F.col("m.p"))
+    now = durable(gone.join(made, on).select("g.table_name", "file_path", "in_file").where("file_path <> in_file"))
+    for _ in range(max_rounds):
+        further = now.select(F.col("table_name").alias("t"), F.col("file_path").alias("f"), F.col("in_file").alias("next"))
+        step = durable(now.join(further, (F.col("table_name") == F.col("t")) & (F.col("in_file") == F.col("f")), "left").select("table_name", "file_path", F.coalesce("next", "in_file").alias("in_file"), "next"))
+        now = step.drop("next")
+        if not step.where("next is not null").limit(1).count():
+            return now
+    raise RuntimeError("files replace each other in a circle")
+
+
+def _checksum(columns: list[str]):
+    return F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in sorted(columns)]).cast("decimal(20,0)"))
+
+
+def _homes(plan: DataFrame, current: DataFrame | None) -> DataFrame:
+    """table_name, file_path, in_file: a plan's files and, by current (of current_files()), the replaced files whose records they hold now."""
+    own = plan.select("table_name", "file_path", F.col("file_path").alias("in_file"))
+    return own if current is None else own.unionByName(current.join(plan.select("table_name", F.col("file_path").alias("in_file")), ["table_name", "in_file"], "left_semi").select(*own.columns))
+
+
+def matched(records: DataFrame, plan: DataFrame, current: DataFrame | None = None) -> DataFrame:
+    """A plan's files with rows, the records found in each, their checksum, and whole: whether they are as many as the file's metadata says.
+
+    Records name the file they were first written to, by table_name and file_path; current says where those of replaced files are now.
+    """
+    files = plan.select("table_name", "file_path", "records", "target_file").dropDuplicates(["table_name", "file_path"])
+    first = records.groupBy("table_name", "file_path").agg(F.count("*").alias("n"), _checksum(records.columns).alias("c"))
+    got = first.join(_homes(files, current), ["table_name", "file_path"]).groupBy("table_name", F.col("in_file").alias("file_path")).agg(F.sum("n").alias("rows"), F.sum("c").alias("checksum"))
+    return files.join(got, ["table_name", "file_path"], "left").withColumn("rows", F.coalesce("rows", F.lit(0))).withColumn("whole", F.coalesce(F.col("rows") == F.col("records"), F.lit(False)))
+
+
+def rewrite(records: DataFrame, plan: DataFrame, keys: list[str], out: str, current: DataFrame | None = None) -> DataFrame:
+    """Write the records of a plan's files (see matched()) to its target files, sorted by keys, under out; a report by table.
+
+    Columns: table_name, small_files and records as planned, unmoved_files, rows_before (found for the planned files), rows_after (in the
+    copy), target_files, reconciled. Only files whose records are all there are moved; the others are listed in out.unmoved and must stay.
+    A table is reconciled if no file is unmoved, as many rows were found as planned, and rows and a checksum agree for each target. Each
+    target is a folder (mr_target=...) with one file.
+    """
+    files = durable(matched(records, plan, current))
+    files.where("not whole").select("table_name", "file_path", "records", "rows").write.mode("overwrite").parquet(f"{out}.unmoved")
+    whole = files.where("whole").select("table_name", "file_path", F.col("target_file").alias("mr_target"), "rows", "checksum")
+    home = _homes(whole, current).join(whole.select("table_name", F.col("file_path").alias("in_file"), "mr_target"), ["table_name", "in_file"]).drop("in_file")
+    part = records.join(home, ["table_name", "file_path"]).select(*records.columns, "mr_target")
+    part.repartition("mr_target").sortWithinPartitions("mr_target", *keys).write.mode("overwrite").partitionBy("mr_target").parquet(out)
+    before = whole.groupBy("table_name", "mr_target").agg(F.sum("rows").alias("n0"), F.sum("checksum").alias("c0")).where("n0 > 0")
+    after = records.sparkSession.read.schema(part.schema).parquet(out).groupBy("table_name", "mr_target").agg(F.count("*").alias("n1"), _checksum(records.columns).alias("c1"))
+    same = F.col("n0").eqNullSafe(F.col("n1")) & F.col("c0").eqNullSafe(F.col("c1"))
+    moved = before.join(after, ["table_name", "mr_target"], "full").groupBy("table_name").agg(F.sum("n1").alias("rows_after"), F.count("n1").alias("target_files"), F.bool_and(same).alias("same"))
+    planned = files.groupBy("table_name").agg(F.count("*").alias("small_files"), F.sum("records").alias("records"), F.count(F.when(~F.col("whole"), 1)).alias("unmoved_files"), F.sum("rows").alias("rows_before"))
+    report = planned.join(moved, "table_name", "full").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("rows_after", "target_files")})
+    done = (F.col("unmoved_files") == 0) & (F.col("rows_before") == F.col("records")) & (F.col("rows_after") == F.col("records")) & F.coalesce("same", F.lit(True))
+    return report.select("table_name", "small_files", "records", "unmoved_files", "rows_before", "rows_after", "target_files", F.coalesce(done, F.lit(False)).alias("reconciled"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..lake.compaction import plan_rewrites, rewrite
+from ..lake.compaction import current_files, matched, plan_rewrites, rewrite
 from ..lake.dedupe import p5_found
 from ..lake.drift import p3_found, p3_unified
 from ..lake.incremental import p4_found, p4_gaps
@@ -28,13 +28,22 @@ def p1_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("table_name").agg(F.count("*").alias("small_files"), F.sum("size").alias("bytes"), F.sum("records").alias("records")).join(targets, "table_name")
 
 
+def _current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return current_files(load(spark, sf_dir, "data_files"), load(spark, sf_dir, "snapshots"))
+
+
 def p1_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Move the change events of all small files into larger files; by table, whether every record is there once."""
-    return rewrite(load(spark, sf_dir, "cdc_events"), _plan(spark, sf_dir), ["table_name", "file_path", "delivery_id"], shared_path(spark, "compacted"))
+    """Move the change events of all small files into their target files; by table, whether every planned record is there once."""
+    return rewrite(load(spark, sf_dir, "cdc_events"), _plan(spark, sf_dir), ["table_name", "file_path", "delivery_id"], shared_path(spark, "compacted"), _current(spark, sf_dir))
+
+
+def p1_unmoved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The small files p1_rewrite can't move, as not all of their records are among the change events: they must stay."""
+    return matched(load(spark, sf_dir, "cdc_events"), _plan(spark, sf_dir), _current(spark, sf_dir)).where("not whole").select("table_name", "file_path", "records", "rows")
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_targets": p1_targets, "p1_rewrite": p1_rewrite, "p2_found": p2_found, "p2_current_payload": p2_current_payload,
+    "p1_found": p1_found, "p1_targets": p1_targets, "p1_rewrite": p1_rewrite, "p1_unmoved": p1_unmoved, "p2_found": p2_found, "p2_current_payload": p2_current_payload,
     "p3_found": p3_found, "p3_unified": p3_unified, "p4_found": p4_found, "p4_gaps": p4_gaps, "p5_found": p5_found,
 }
 
@@ -67,6 +76,20 @@ done AS (SELECT DISTINCT o.table_name, o.snapshot_id, o.no FROM o JOIN iv ON iv.
 
 SQL = {
     "p1_found": _SMALL + "SELECT table_name, file_path FROM small WHERE n > 1",
+    "p1_unmoved": "WITH RECURSIVE" + _SMALL.strip().removeprefix("WITH") + """,
+p AS (SELECT * FROM small WHERE n > 1),
+gone AS (SELECT d.table_name, d.file_path, max(d.snapshot_id) AS by_snapshot,
+         (SELECT max(x.partition_path) FROM data_files x WHERE x.table_name = d.table_name AND x.file_path = d.file_path) AS part FROM data_files d
+         WHERE d.status = 2 AND EXISTS (SELECT 1 FROM snapshots s WHERE s.table_name = d.table_name AND s.snapshot_id = d.snapshot_id AND lower(trim(s.operation)) = 'replace')
+         GROUP BY d.table_name, d.file_path),
+made AS (SELECT table_name, snapshot_id, partition_path, min(file_path) AS into_file FROM data_files WHERE status = 1
+         GROUP BY table_name, snapshot_id, partition_path HAVING count(DISTINCT file_path) = 1),
+step AS (SELECT g.table_name, g.file_path, m.into_file FROM gone g JOIN made m ON g.table_name = m.table_name AND g.by_snapshot = m.snapshot_id AND g.part IS NOT DISTINCT FROM m.partition_path),
+trail AS (SELECT table_name, file_path, into_file FROM step UNION SELECT t.table_name, t.file_path, s.into_file FROM trail t JOIN step s ON s.table_name = t.table_name AND s.file_path = t.into_file),
+home AS (SELECT table_name, file_path, file_path AS into_file FROM p UNION SELECT table_name, file_path, into_file FROM trail),
+got AS (SELECT h.table_name, h.into_file, count(*) AS n FROM cdc_events e JOIN home h ON h.table_name = e.table_name AND h.file_path = e.file_path GROUP BY h.table_name, h.into_file)
+SELECT p.table_name, p.file_path, p.records, coalesce(got.n, 0) AS rows FROM p LEFT JOIN got ON got.table_name = p.table_name AND got.into_file = p.file_path
+WHERE coalesce(got.n, 0) IS DISTINCT FROM p.records""",
     "p2_found": """
 SELECT table_name, _cdc_row_id, max(_cdc_sequence) AS _cdc_sequence FROM cdc_events GROUP BY table_name, _cdc_row_id
 HAVING arg_max(lower(left(trim(_cdc_operation), 1)), _cdc_sequence) <> 'd'""",

@@ -53,6 +53,30 @@ def test_compact_directory(spark):
     assert spark.read.parquet(at).count() == 5000
 
 
+def test_rewrite_whole_plan(spark):
+    files = [
+        ("a", 1, 1, "f1", "d=1", 2, 100, 0), ("a", 1, 1, "f2", "d=1", 1, 100, 0), ("a", 2, 1, "f3", "d=1", 1, 100, 0), ("a", 3, 1, "f4", "d=1", 1, 100, 0),
+        # r1 replaces f1 and f2, r2 replaces r1 and f3
+        ("a", 8, 2, "f1", "d=1", 2, 100, 0), ("a", 8, 2, "f2", "d=1", 1, 100, 0), ("a", 8, 1, "r1", "d=1", 3, 100, 0),
+        ("a", 9, 2, "r1", "d=1", 3, 100, 0), ("a", 9, 2, "f3", "d=1", 1, 100, 0), ("a", 9, 1, "r2", "d=1", 4, 100, 0),
+        # the records of g1 are nowhere, and one of g2's two
+        ("b", 4, 1, "g1", None, 70, 100, 0), ("b", 5, 1, "g2", None, 2, 100, 0), ("b", 5, 1, "g3", None, 1, 100, 0), ("c", 6, 1, "h1", "d=1", 9, 100, 0), ("c", 6, 1, "h2", "d=1", 9, 100, 0),
+    ]
+    snaps = [("a", i, "replace" if i > 7 else "append", "0") for i in range(1, 10)]
+    f, s = spark.createDataFrame(files, FILES), spark.createDataFrame(snaps, "table_name string, snapshot_id bigint, operation string, added_files_size string")
+    ev = [("a", "f1", 1, "x"), ("a", "f1", 2, "x"), ("a", "f2", 3, None), ("a", "f3", 4, "x"), ("a", "f4", 5, "x"), ("b", "g2", 6, "x"), ("b", "g3", 7, "x"), ("z", "other", 8, "x")]
+    events = spark.createDataFrame(ev, "table_name string, file_path string, n int, v string")
+    assert rows(compaction.current_files(f, s)) == [("a", "f1", "r2"), ("a", "f2", "r2"), ("a", "f3", "r2"), ("a", "r1", "r2")]
+    plan, out = compaction.plan_rewrites(f, s), shared_path(spark, "whole")
+    report = compaction.rewrite(events, plan, ["n"], out, compaction.current_files(f, s))
+    # table, small files, records, unmoved, before, after, targets, reconciled
+    assert rows(report) == [("a", 2, 5, 0, 5, 5, 1, True), ("b", 3, 73, 2, 2, 1, 1, False), ("c", 2, 18, 2, 0, 0, 0, False)]
+    assert rows(spark.read.parquet(f"{out}.unmoved")) == [("b", "g1", 70, 0), ("b", "g2", 2, 1), ("c", "h1", 9, 0), ("c", "h2", 9, 0)]
+    moved = spark.read.parquet(out)
+    assert rows(moved.select("table_name", "file_path", "n", "v")) == sorted([x for x in ev if x[0] == "a" or x[1] == "g3"], key=repr)
+    assert rows(moved.select("table_name", "mr_target").distinct()) == rows(plan.where("table_name <> 'c'").select("table_name", "target_file").distinct())
+
+
 # 2. Inserts, updates, deletes
 
 
