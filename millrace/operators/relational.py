@@ -20,14 +20,19 @@ def reference_join(fact: DataFrame, reference: DataFrame, on, how: str = "inner"
 
 
 def version_diff(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """Rows that differ between two versions, with _change_type INSERT, UPDATE or DELETE; for DELETE the old row. Keys are unique in either version; null keys are equal."""
-    cols = [c for c in new.columns if c not in key]
-    h = lambda p: F.xxhash64(*[F.col(f"{p}.{c}") for c in cols]) if cols else F.lit(0)
+    """Rows that differ between two versions, with _change_type INSERT, UPDATE or DELETE; for DELETE the old row. Keys are unique in either version; null keys are equal.
+
+    Columns are compared themselves, not by hash: Spark's hash skips nulls, so that a value that moves to another column would go unseen.
+    """
+    same = F.lit(True)
+    for c in new.columns:
+        if c not in key:
+            same = same & F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}"))
     o, n = old.withColumn("__o", F.lit(1)).alias("o"), new.withColumn("__n", F.lit(1)).alias("n")
     on = F.lit(True)
     for c in key:
         on = on & F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}"))
-    kind = F.when(F.col("__o").isNull(), "INSERT").when(F.col("__n").isNull(), "DELETE").when(h("o") != h("n"), "UPDATE")
+    kind = F.when(F.col("__o").isNull(), "INSERT").when(F.col("__n").isNull(), "DELETE").when(~same, "UPDATE")
     both = o.join(n, on, "full").withColumn("_change_type", kind).where("_change_type is not null")
     pick = lambda c: F.when(F.col("_change_type") == "DELETE", F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c)
     return both.select(*[pick(c) for c in new.columns], "_change_type")

@@ -122,6 +122,18 @@ def test_three_way_deletes(spark):
     assert sorted((r.k, r.v, r._side) for r in m.collect()) == [(1, 5, "theirs"), (3, 9, "conflict"), (4, 4, "base")]
 
 
+def test_diff_sees_moved_nulls(spark):
+    t = "k int, a int, b int, c array<int>"
+    old = spark.createDataFrame([(1, 1, None, [1]), (2, 5, 5, [1, None, 2]), (3, 7, None, [None]), (None, 1, None, None), (5, 1, 1, [1])], t)
+    new = spark.createDataFrame([(1, None, 1, [1]), (2, 5, 5, [1, 2]), (3, 7, None, [None]), (None, None, 1, None), (6, 1, 1, [1])], t)
+    want = [(1, "UPDATE"), (2, "UPDATE"), (5, "DELETE"), (6, "INSERT"), (None, "UPDATE")]
+    assert sorted(map(tuple, rel.version_diff(old, new, ["k"]).select("k", "_change_type").collect()), key=repr) == want
+    lake = LakeTable.create(spark, shared_path(spark, "lake"), old.schema)
+    lake.append(old)
+    lake.overwrite(new)
+    assert sorted(map(tuple, lake.diff(1, 2, ["k"]).select("k", "_change_type").collect()), key=repr) == want
+
+
 def test_joins(spark):
     l = spark.createDataFrame([("a", 5, 1), ("a", 1, 2), (None, 3, 3)], "k string, at int, x int")  # noqa: E741
     r = spark.createDataFrame([("a", 2, 20), ("a", 5, 50), (None, 1, 7)], "k string, t int, y int")
