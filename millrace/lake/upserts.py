@@ -16,16 +16,16 @@ from ..session import load
 from .values import operation
 
 
-def split_changes(events: DataFrame, key: list[str], sequence: str = "_cdc_sequence", op: str = "_cdc_operation", after: str | None = None, payload: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def split_changes(events: DataFrame, key: list[str], sequence: str = "_cdc_sequence", op: str = "_cdc_operation", after: str | None = "after_json", payload: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(data rows, delete keys) of change events.
 
     Rows with a null key or sequence can't be placed and are left out. Both sides are reduced to one row a key before any shuffle: of data
     rows the one of highest sequence, of delete keys the furthest reach; so a key with very many changes makes no large group. Repeated
-    deliveries fall together; where they differ in payload the greatest is kept. after names the payload that tells what an unknown operation
-    is; without it the payload, the widest column by far, isn't read.
+    deliveries fall together; where they differ in payload the greatest is kept. after names the payload that tells, by being null, that an
+    unknown operation is a delete; where events have no such column it is an update.
     """
     ok = events.where(" and ".join(f"`{c}` is not null" for c in [*key, sequence]))
-    kind = operation(F.col(op), F.col(after) if after else None)
+    kind = operation(F.col(op), F.col(after) if after in events.columns else None)
     ok = ok.select(*key, F.col(sequence).alias("__seq"), kind.alias("__op"), *(payload or []))
     data = ok.where("__op <> 'delete'").groupBy(*key)
     if payload:

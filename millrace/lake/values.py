@@ -13,7 +13,7 @@ DELETE = ("d", "delete", "deleted", "del", "remove", "removed", "tombstone")
 
 def operation(op: Column, after: Column | None = None) -> Column:
     """'insert', 'update' or 'delete'. An unknown spelling goes by its first letter; what is still unknown, or null, is an update, or, if after is given and null, a delete."""
-    o = F.lower(F.trim(op))
+    o = F.lower(F.regexp_replace(op, r"(?U)^\s+|\s+$", ""))
     known = F.when(o.isin(*INSERT), "insert").when(o.isin(*UPDATE), "update").when(o.isin(*DELETE), "delete").when(o.startswith("d"), "delete").when(o.startswith("i") | o.startswith("c"), "insert")
     return known.otherwise("update") if after is None else known.when(after.isNull(), "delete").otherwise("update")
 

@@ -110,6 +110,18 @@ def test_current_rows(spark, seed, tmp_path):
     assert upserts.current_rows(df.limit(0), ["table_name", "_cdc_row_id"]).count() == 0
 
 
+def test_unknown_operations(spark, tmp_path):
+    ops = [("\tdelete\n", "{}"), ("\u00a0D", "{}"), (None, None), ("?", None), (None, "{}"), ("?", "{}"), ("\tinsert", None)]
+    df = spark.createDataFrame([(i, "s", "t", 1 + i, op, str(i), None, after, 1, 0, "") for i, (op, after) in enumerate(ops)], CDC)
+    want = [("t", str(i), 1 + i) for i in (4, 5, 6)]
+    key = ["table_name", "_cdc_row_id"]
+    assert rows(upserts.current_rows(df, key)) == want
+    t = upserts.EqualityDeleteTable(spark, str(tmp_path / "t"), key, ["after_json"])
+    t.append(df)
+    assert rows(t.read().select(*key, "_cdc_sequence")) == want
+    assert rows(upserts.current_rows(df.drop("after_json"), key)) == [("t", str(i), 1 + i) for i in range(2, 7)]
+
+
 # 3. Drift
 
 
