@@ -33,6 +33,17 @@ def bucket(x: Column, n: int) -> Column:
     return F.when(x.isNotNull(), F.abs(h) % n)
 
 
+def bucket_fnv(x: Column, n: int) -> Column:
+    """Four digits, 0000 to n-1, by the FNV-1a hash of the text's UTF-16 units as the reference computes it (signed xor, product in a double); '__null__' for null."""
+    text = x.cast("string")
+    units = F.hex(F.encode(text, "UTF-16BE"))
+    codes = F.when(text != "", F.transform(F.sequence(F.lit(0), F.greatest(F.length(units) / 4, F.lit(1)).cast("int") - 1), lambda i: F.conv(F.substr(units, i * 4 + 1, F.lit(4)), 16, 10).cast("bigint")))
+    signed = lambda h: F.when(h >= 2**31, h - 2**32).otherwise(h)
+    step = lambda h, u: F.pmod((signed(h.bitwiseXOR(u)).cast("double") * F.lit(16777619.0)).cast("bigint"), F.lit(2**32))
+    h = F.aggregate(F.coalesce(codes, F.array().cast("array<bigint>")), F.lit(2166136261).cast("bigint"), step)
+    return F.when(x.isNull(), "__null__").otherwise(F.lpad((h % n).cast("string"), 4, "0"))
+
+
 def truncate(x: Column, width: int, kind: str = "string") -> Column:
     """The first width characters of text, or the multiple of width at or below a number."""
     return F.substring(x, 1, width) if kind == "string" else F.floor(x / width) * width

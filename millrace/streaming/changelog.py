@@ -34,6 +34,16 @@ class Subscription:
         return out.where(self.where) if self.where else out
 
 
+def by_hlc(log: DataFrame, subscription: Subscription | None = None) -> DataFrame:
+    """A subscription's changes in the order of their hybrid clock: column hlc, a struct of physicalTime, logicalCounter and nodeId.
+
+    Entries without a clock and control entries are left out. For a stream, call it on each micro-batch in stream_apply(); batches aren't
+    reordered among each other.
+    """
+    data = (subscription or Subscription()).apply(log).where("hlc is not null and op not in ('BEGIN', 'COMMIT', 'ROLLBACK')")
+    return data.orderBy("hlc.physicalTime", "hlc.logicalCounter", "hlc.nodeId", "lsn")
+
+
 def committed(log: DataFrame) -> DataFrame:
     """Changes of transactions that have a COMMIT and no ROLLBACK; changes without a transaction; no control entries."""
     ends = log.where("op in ('COMMIT', 'ROLLBACK')").groupBy("txn").agg(F.max(F.when(F.col("op") == "COMMIT", 1).otherwise(0)).alias("c"), F.max(F.when(F.col("op") == "ROLLBACK", 1).otherwise(0)).alias("r"))

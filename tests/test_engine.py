@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import dates, jsons, strings
-from millrace.lake.partitioning import bucket
+from millrace.lake.partitioning import bucket, bucket_fnv
 from millrace.lake.tables import Conflict, LakeTable
 from millrace.operators import relational as rel
 from millrace.operators.search import match, parse_query, snippet
@@ -14,7 +14,7 @@ from millrace.plans.database import ConstraintError, Database, affinity
 from millrace.plans.dialect import glob_regex, translate
 from millrace.session import shared_path
 from millrace.sources.readers import detect_format, read_source
-from millrace.streaming.changelog import Slots
+from millrace.streaming.changelog import Slots, Subscription, by_hlc
 
 
 def one(df):
@@ -201,6 +201,26 @@ def test_bucket(spark):
     assert [r[0] for r in got] == [96354 % 16, 0, None]
 
 
+def test_by_hlc(spark):
+    log = [(1, "INSERT", (5, 0, "b")), (2, "UPDATE", (5, 0, "a")), (3, "BEGIN", (1, 0, "a")), (4, "DELETE", None), (5, "INSERT", (2, 10, "a")), (6, "INSERT", (2, 9, "a")), (7, "UPDATE", (1, 0, "z"))]
+    df = spark.createDataFrame(log, "lsn bigint, op string, hlc struct<physicalTime: bigint, logicalCounter: int, nodeId: string>")
+    assert [r["lsn"] for r in by_hlc(df).collect()] == [7, 6, 5, 2, 1]
+    assert [r["lsn"] for r in by_hlc(df, Subscription(after_lsn=5)).collect()] == [7, 6]
+
+
+def test_bucket_fnv(spark):
+    def js(t):
+        h, b = 2166136261, t.encode("utf-16-be")
+        for i in range(0, len(b), 2):
+            h ^= b[i] << 8 | b[i + 1]
+            h = int(float(h - 2**32 if h >= 2**31 else h) * 16777619.0) % 2**32
+        return f"{h % 16:04d}"
+
+    texts = ["", "a", "order-17", "Zürich", "😀 x", "12345678901234567890"]
+    got = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", bucket_fnv(F.col("t"), 16)).collect()
+    assert dict(map(tuple, got)) == {t: js(t) for t in texts} | {None: "__null__"}
+
+
 def test_search(spark):
     d = spark.createDataFrame([(1, "The quick brown fox"), (2, "quick, very quick Fox brown"), (3, None), (4, "")], "id int, text string")
     find = lambda q: [r[0] for r in match(d, q, ["text"]).orderBy("id").collect()]
