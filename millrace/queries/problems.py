@@ -9,7 +9,7 @@ from ..lake.compaction import current_files, matched, plan_rewrites, rewrite
 from ..lake.dedupe import p5_found
 from ..lake.drift import p3_found, p3_unified
 from ..lake.incremental import p4_found, p4_gaps
-from ..lake.upserts import p2_current_payload, p2_found
+from ..lake.upserts import p2_current_payload, p2_found, p2_unplaced
 from ..session import load, shared_path
 
 
@@ -43,7 +43,7 @@ def p1_unmoved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_targets": p1_targets, "p1_rewrite": p1_rewrite, "p1_unmoved": p1_unmoved, "p2_found": p2_found, "p2_current_payload": p2_current_payload,
+    "p1_found": p1_found, "p1_targets": p1_targets, "p1_rewrite": p1_rewrite, "p1_unmoved": p1_unmoved, "p2_found": p2_found, "p2_current_payload": p2_current_payload, "p2_unplaced": p2_unplaced,
     "p3_found": p3_found, "p3_unified": p3_unified, "p4_found": p4_found, "p4_gaps": p4_gaps, "p5_found": p5_found,
 }
 
@@ -97,6 +97,8 @@ HAVING arg_max(lower(left(trim(_cdc_operation), 1)), _cdc_sequence) <> 'd'""",
 SELECT table_name, _cdc_row_id, max(_cdc_sequence) AS _cdc_sequence, CAST(len(json_keys(arg_max(after_json, _cdc_sequence))) AS INTEGER) AS n_fields
 FROM (SELECT table_name, _cdc_row_id, _cdc_sequence, _cdc_operation, after_json FROM cdc_events) GROUP BY table_name, _cdc_row_id
 HAVING arg_max(lower(left(trim(_cdc_operation), 1)), _cdc_sequence) <> 'd'""",
+    "p2_unplaced": """
+SELECT table_name, count(*) AS deliveries, count(*) FILTER (WHERE table_name IS NULL OR _cdc_row_id IS NULL OR _cdc_sequence IS NULL) AS unplaced FROM cdc_events GROUP BY table_name""",
     "p4_found": f"""WITH {_COVERED}
 SELECT source_do_id, _cdc_sequence FROM cdc_events c LEFT JOIN done ON done.table_name = c.table_name AND done.snapshot_id = c.snapshot_id
 GROUP BY source_do_id, _cdc_sequence HAVING count(done.no) = 0""",

@@ -107,6 +107,13 @@ def test_current_rows(spark, seed, tmp_path):
     t.append(halves[0], "z")  # again
     assert rows(t.read().select("table_name", "_cdc_row_id", "_cdc_sequence")) == sorted(want, key=repr)
     assert rows(t.compacted(str(tmp_path / "c")).read().select("table_name", "_cdc_row_id", "_cdc_sequence")) == sorted(want, key=repr)
+    # Another object on the same path, and a batch that died before its commit.
+    u = upserts.EqualityDeleteTable(spark, str(tmp_path / "t"), ["table_name", "_cdc_row_id"], ["after_json"])
+    gone = df.where("table_name is not null and _cdc_row_id is not null").groupBy("table_name", "_cdc_row_id").agg(F.lit(10**9).cast("bigint").alias("__reach"))
+    u._runs.write(gone.selectExpr("table_name", "_cdc_row_id", "null _cdc_sequence", "null after_json", "__reach", "'delete' mr_kind"), "dead")
+    assert rows(u.read().select("table_name", "_cdc_row_id", "_cdc_sequence")) == sorted(want, key=repr)
+    assert "Exchange" not in u.read()._jdf.queryExecution().sparkPlan().toString()
+    assert upserts.unplaced(df, ["table_name", "_cdc_row_id"]).count() == sum(x[3] is None or x[5] is None for x in ev)
     assert upserts.current_rows(df.limit(0), ["table_name", "_cdc_row_id"]).count() == 0
 
 
@@ -300,3 +307,7 @@ def test_superfluous_and_store(spark, tmp_path):
     assert rows(st.read().select("s", "q", "delivery_id")) == want == rows(st.compacted(str(tmp_path / "n")).read().select("s", "q", "delivery_id"))
     with pytest.raises(ValueError):
         st.upsert(df)
+    assert dedupe.superfluous(df.limit(0), ["s", "q"], "delivery_id").count() == 0
+    # A message under a third of all rows, resolved with its edges joined apart.
+    star = spark.createDataFrame([(i, 0) for i in range(1, 300)] + [(1000 + i, 1001 + i) for i in range(40)], "a bigint, b bigint")
+    assert rows(dedupe.components(star, hot=5)) == sorted([(i, 0) for i in range(1, 300)] + [(1001 + i, 1000) for i in range(40)], key=repr)
