@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..session import durable
+from .files import fs_of as _fs
 from .values import integer
 
 SMALL = 8 * 1024 * 1024
@@ -37,6 +38,7 @@ def live_files(data_files: DataFrame, snapshots: DataFrame) -> DataFrame:
         F.max(F.when(added, 1).otherwise(0)).alias("was_added"),
         F.max(F.when(F.col("status") == 2, 1).otherwise(0)).alias("was_deleted"),
     ).where("was_added = 1")
+    files = durable(files)
     # Deleted files count among those their snapshot added, so sizes are filled before they are dropped.
     known = files.groupBy("table_name", "snapshot_id").agg(F.coalesce(F.sum("known"), F.lit(0)).alias("known_sum"), F.count(F.when(F.col("known").isNull(), 1)).alias("unset")).where("unset = 1")
     said = snapshots.groupBy("table_name", "snapshot_id").agg(F.max(integer(F.col("added_files_size"))).alias("said"))
@@ -47,7 +49,7 @@ def live_files(data_files: DataFrame, snapshots: DataFrame) -> DataFrame:
 
 def small_files(data_files: DataFrame, snapshots: DataFrame, small: int = SMALL) -> DataFrame:
     """Live files under small bytes that have at least one other such file in their table and partition."""
-    files = live_files(data_files, snapshots).where(F.col("size") < small)
+    files = durable(live_files(data_files, snapshots).where(F.col("size") < small))
     groups = files.groupBy("table_name", "partition_path").agg(F.count("*").alias("n")).where("n > 1").select(F.col("table_name").alias("t"), F.col("partition_path").alias("p"))
     return files.join(groups, (F.col("table_name") == F.col("t")) & F.col("partition_path").eqNullSafe(F.col("p")), "left_semi")
 
@@ -55,18 +57,23 @@ def small_files(data_files: DataFrame, snapshots: DataFrame, small: int = SMALL)
 def plan_rewrites(data_files: DataFrame, snapshots: DataFrame, small: int = SMALL, target: int = TARGET, ranges: int | None = None) -> DataFrame:
     """Small files with the target file each goes to.
 
-    Columns: table_name, partition_path, file_path, size, records, target_file. The files are range-partitioned by table, partition and path;
-    within a range, and within a lake partition, a new target begins at each target bytes. A hot partition may span several ranges, where
-    at most one target per range boundary is underfilled. An empty table gives no row.
+    Columns: table_name, partition_path, file_path, size, records, target_file. The files are range-partitioned by table, partition and path
+    (Spark samples the boundaries); a new target begins at each target bytes of a lake partition. Bytes are summed within a range and carried over
+    from range to range, so a hot partition may span many ranges and its targets are the same however many there are. The plan is written to the
+    shared folder, as finding and moving the files both go by it. An empty table gives no row.
     """
     files = small_files(data_files, snapshots, small)
     by = ["table_name", "partition_path", "file_path"]
     ranged = files.repartitionByRange(*by) if ranges is None else files.repartitionByRange(ranges, *by)
-    ranged = ranged.withColumn("range_no", F.spark_partition_id())
-    at = F.sum("size").over(W.partitionBy("range_no", "table_name", "partition_path").orderBy("file_path").rowsBetween(W.unboundedPreceding, -1))
-    no = F.floor(F.coalesce(at, F.lit(0)) / target).cast("bigint")
-    name = F.concat_ws("-", F.lpad(F.col("range_no").cast("string"), 5, "0"), F.lpad(no.cast("string"), 5, "0"))
-    return ranged.select(*by, "size", "records", F.concat(F.lit("lake/"), "table_name", F.lit("/data/"), F.coalesce("partition_path", F.lit("unpartitioned")), F.lit("/compact-"), name, F.lit(".parquet")).alias("target_file"))
+    ranged = durable(ranged.withColumn("range_no", F.spark_partition_id()))
+    within = F.sum("size").over(W.partitionBy("range_no", "table_name", "partition_path").orderBy("file_path").rowsBetween(W.unboundedPreceding, -1))
+    sums = ranged.groupBy("table_name", "partition_path", "range_no").agg(F.sum("size").alias("bytes"))
+    # One row for each range of a lake partition.
+    before = F.sum("bytes").over(W.partitionBy("table_name", "partition_path").orderBy("range_no").rowsBetween(W.unboundedPreceding, -1))
+    sums = sums.select(F.col("table_name").alias("t"), F.col("partition_path").alias("p"), F.col("range_no").alias("r"), F.coalesce(before, F.lit(0)).alias("carried"))
+    at = ranged.withColumn("within", F.coalesce(within, F.lit(0))).join(sums, (F.col("table_name") == F.col("t")) & F.col("partition_path").eqNullSafe(F.col("p")) & (F.col("range_no") == F.col("r")))
+    no = F.lpad(F.floor((F.col("within") + F.col("carried")) / target).cast("string"), 8, "0")
+    return durable(at.select(*by, "size", "records", F.concat(F.lit("lake/"), "table_name", F.lit("/data/"), F.coalesce("partition_path", F.lit("unpartitioned")), F.lit("/compact-"), no, F.lit(".parquet")).alias("target_file")))
 
 
 @dataclass(frozen=True)
@@ -85,10 +92,17 @@ class Rewrite:
         return self.rows_before == self.rows_after and self.checksum_before == self.checksum_after
 
 
+def row_hash(df: DataFrame, columns: list[str] | None = None):
+    """A hash of a row that nulls count in: Spark's hash skips them, so each column says beside its value whether it is null, and nested values are hashed as JSON."""
+    nested = lambda t: any(x in t for x in ("map<", "array<", "struct<"))
+    cols = [(c, t) for c, t in df.dtypes if columns is None or c in columns]
+    value = [F.to_json(F.struct(F.col(f"`{c}`").alias("v")), {"ignoreNullFields": "false"}) if nested(t) else F.col(f"`{c}`") for c, t in cols]
+    return F.xxhash64(*value, *[F.col(f"`{c}`").isNull() for c, _ in cols]) if cols else F.lit(0).cast("bigint")
+
+
 def checksum(df: DataFrame) -> tuple[int, int]:
     """The number of rows and a sum of their hashes that doesn't depend on order; for equal multisets of rows it is equal."""
-    h = F.xxhash64(*[F.to_json(F.col(f"`{c}`")) if "map<" in t else F.col(f"`{c}`") for c, t in df.dtypes]) if df.columns else F.lit(0)
-    r = df.select(h.cast("decimal(20,0)").alias("h")).agg(F.count("*").alias("n"), F.sum("h").alias("s")).first()
+    r = df.select(row_hash(df).cast("decimal(20,0)").alias("h")).agg(F.count("*").alias("n"), F.sum("h").alias("s")).first()
     return r["n"], int(r["s"] or 0)
 
 
@@ -98,11 +112,6 @@ def clustered(df: DataFrame, keys: list[str], files: int) -> DataFrame:
     return df.withColumn("__spread", spread).repartitionByRange(max(1, files), *[F.col(k) for k in keys], F.col("__spread")).sortWithinPartitions(*keys).drop("__spread")
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
 def directory_files(spark: SparkSession, path: str) -> tuple[int, int]:
     """Files with records under a directory, and their bytes (names that begin with _ or . don't count)."""
     fs, p = _fs(spark, path)
@@ -178,8 +187,8 @@ def current_files(data_files: DataFrame, snapshots: DataFrame, max_rounds: int =
     raise RuntimeError("files replace each other in a circle")
 
 
-def _checksum(columns: list[str]):
-    return F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in sorted(columns)]).cast("decimal(20,0)"))
+def _checksum(df: DataFrame, columns: list[str]):
+    return F.sum(row_hash(df.select(*[f"`{c}`" for c in sorted(columns)])).cast("decimal(20,0)"))
 
 
 def _homes(plan: DataFrame, current: DataFrame | None) -> DataFrame:
@@ -194,7 +203,7 @@ def matched(records: DataFrame, plan: DataFrame, current: DataFrame | None = Non
     Records name the file they were first written to, by table_name and file_path; current says where those of replaced files are now.
     """
     files = plan.select("table_name", "file_path", "records", "target_file").dropDuplicates(["table_name", "file_path"])
-    first = records.groupBy("table_name", "file_path").agg(F.count("*").alias("n"), _checksum(records.columns).alias("c"))
+    first = records.groupBy("table_name", "file_path").agg(F.count("*").alias("n"), _checksum(records, records.columns).alias("c"))
     got = first.join(_homes(files, current), ["table_name", "file_path"]).groupBy("table_name", F.col("in_file").alias("file_path")).agg(F.sum("n").alias("rows"), F.sum("c").alias("checksum"))
     return files.join(got, ["table_name", "file_path"], "left").withColumn("rows", F.coalesce("rows", F.lit(0))).withColumn("whole", F.coalesce(F.col("rows") == F.col("records"), F.lit(False)))
 
@@ -205,7 +214,7 @@ def rewrite(records: DataFrame, plan: DataFrame, keys: list[str], out: str, curr
     Columns: table_name, small_files and records as planned, unmoved_files, rows_before (found for the planned files), rows_after (in the
     copy), target_files, reconciled. Only files whose records are all there are moved; the others are listed in out.unmoved and must stay.
     A table is reconciled if no file is unmoved, as many rows were found as planned, and rows and a checksum agree for each target. Each
-    target is a folder (mr_target=...) with one file.
+    target is a folder (mr_target=...) with one file. out.entries are the manifest entries that swap the files: targets added, moved files deleted.
     """
     files = durable(matched(records, plan, current))
     files.where("not whole").select("table_name", "file_path", "records", "rows").write.mode("overwrite").parquet(f"{out}.unmoved")
@@ -214,9 +223,16 @@ def rewrite(records: DataFrame, plan: DataFrame, keys: list[str], out: str, curr
     part = records.join(home, ["table_name", "file_path"]).select(*records.columns, "mr_target")
     part.repartition("mr_target").sortWithinPartitions("mr_target", *keys).write.mode("overwrite").partitionBy("mr_target").parquet(out)
     before = whole.groupBy("table_name", "mr_target").agg(F.sum("rows").alias("n0"), F.sum("checksum").alias("c0")).where("n0 > 0")
-    after = records.sparkSession.read.schema(part.schema).parquet(out).groupBy("table_name", "mr_target").agg(F.count("*").alias("n1"), _checksum(records.columns).alias("c1"))
+    copy = records.sparkSession.read.schema(part.schema).parquet(out)
+    after = copy.groupBy("table_name", "mr_target").agg(F.count("*").alias("n1"), _checksum(copy, records.columns).alias("c1"))
     same = F.col("n0").eqNullSafe(F.col("n1")) & F.col("c0").eqNullSafe(F.col("c1"))
-    moved = before.join(after, ["table_name", "mr_target"], "full").groupBy("table_name").agg(F.sum("n1").alias("rows_after"), F.count("n1").alias("target_files"), F.bool_and(same).alias("same"))
+    targets = durable(before.join(after, ["table_name", "mr_target"], "full").withColumn("same", same))
+    # The swap: manifest entries of a replacing snapshot, of those targets only that hold what their files held.
+    ok = targets.where("same")
+    new = ok.select("table_name", F.col("mr_target").alias("file_path"), F.lit(1).alias("status"), F.col("n1").alias("record_count"))
+    old = whole.join(ok.select("table_name", "mr_target"), ["table_name", "mr_target"], "left_semi").select("table_name", "file_path", F.lit(2).alias("status"), F.col("rows").alias("record_count"))
+    new.unionByName(old).write.mode("overwrite").parquet(f"{out}.entries")
+    moved = targets.groupBy("table_name").agg(F.sum("n1").alias("rows_after"), F.count("n1").alias("target_files"), F.bool_and("same").alias("same"))
     planned = files.groupBy("table_name").agg(F.count("*").alias("small_files"), F.sum("records").alias("records"), F.count(F.when(~F.col("whole"), 1)).alias("unmoved_files"), F.sum("rows").alias("rows_before"))
     report = planned.join(moved, "table_name", "full").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("rows_after", "target_files")})
     done = (F.col("unmoved_files") == 0) & (F.col("rows_before") == F.col("records")) & (F.col("rows_after") == F.col("records")) & F.coalesce("same", F.lit(True))

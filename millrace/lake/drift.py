@@ -2,7 +2,8 @@
 
 Payloads are profiled in one pass that emits one row a snapshot and task; from there only lifetimes of fields are aggregated, so no table,
 however many snapshots it has, is gathered in one place. Where a table loses and gains fields at one snapshot, the lost and gained ones are
-profiled by value sketch, kind and name, matched as a bipartite graph, and the matches are held against every delivery that shows both.
+profiled by value sketch, kind and name, matched as a bipartite graph, and the matches are held against every delivery that shows both. Where
+no delivery does, likely_renames() guesses.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import json
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from difflib import SequenceMatcher
 from hashlib import blake2b
 
@@ -25,6 +27,7 @@ from ..session import durable, load
 KINDS = ("string", "number", "boolean", "object", "array")
 SKETCH = 32  # lowest value hashes kept of a field
 BLOCK_BITS = 10  # 1024 numbers of a table are ordered together
+BROADCAST_ROWS = 100_000  # fields that came or went that may be broadcast: some 10 MB
 FLUSH = 200_000  # fields a task holds before it sends them on
 
 
@@ -152,30 +155,31 @@ def _hash(text: str) -> int:
 
 
 def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each candidate: deliveries that show both fields, how many are equal, how many not null, sketches of either side."""
-    n: dict[tuple, list] = defaultdict(lambda: [0, 0, 0, set(), set()])
+    """Of each candidate: deliveries that show both fields, how many are equal, how many not null, sketches and kinds (as bits) of either side."""
+    n: dict[tuple, list] = defaultdict(lambda: [0, 0, 0, 0, 0, set(), set()])
+    last, was, now = None, {}, {}
     for b in batches:
-        for t, no, before, after, pairs in zip(*(b.column(i).to_pylist() for i in range(5))):
-            was = now = None
-            for p in pairs:
-                if was is None:
-                    was, now = _object(before), _object(after)
-                if p["old"] not in was or p["new"] not in now:
-                    continue
-                x, y = was[p["old"]], now[p["new"]]
-                e = n[t, p["at"], p["old"], p["new"]]
-                e[0] += 1
-                e[1] += _same(x, y)
-                e[2] += x is not None
-                for v, k in ((x, 3), (y, 4)):
-                    if v is not None:
-                        e[k].add(_hash(_text(v)))
-                        if len(e[k]) > 8 * SKETCH:
-                            e[k] = set(_sketch(e[k]))
+        for t, at, old, new, before, after in zip(*(b.column(i).to_pylist() for i in range(6))):
+            if (before, after) != last:
+                last, was, now = (before, after), _object(before), _object(after)
+            if old not in was or new not in now:
+                continue
+            x, y = was[old], now[new]
+            e = n[t, at, old, new]
+            e[0] += 1
+            e[1] += _same(x, y)
+            e[2] += x is not None
+            e[3] |= _kind(x)
+            e[4] |= _kind(y)
+            for v, k in ((x, 5), (y, 6)):
+                if v is not None:
+                    e[k].add(_hash(_text(v)))
+                    if len(e[k]) > 8 * SKETCH:
+                        e[k] = set(_sketch(e[k]))
     if n:
-        cols = list(zip(*((*k, *e[:3], _sketch(e[3]), _sketch(e[4])) for k, e in n.items())))
-        types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), _list(pa.int64()), _list(pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, types)], names=["table_name", "at", "old_field", "new_field", "n", "n_equal", "n_value", "old_values", "new_values"])
+        cols = list(zip(*((*k, *e[:5], _sketch(e[5]), _sketch(e[6])) for k, e in n.items())))
+        types = [pa.string(), pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 5, _list(pa.int64()), _list(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, types)], names=["table_name", "at", "old_field", "new_field", "n", "n_equal", "n_value", "old_kinds", "new_kinds", "old_values", "new_values"])
 
 
 def assignment(weight: np.ndarray) -> list[tuple[int, int]]:
@@ -210,48 +214,88 @@ def assignment(weight: np.ndarray) -> list[tuple[int, int]]:
     return [(match[j] - 1, j - 1) for j in range(1, size + 1) if match[j] <= rows and j <= cols and weight[match[j] - 1, j - 1] > 0]
 
 
-def _match(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Renames among the pairs of one table and snapshot. Weights: agreement of sketches, likeness of names, number of deliveries; 0 unless every delivery agrees."""
-    olds, news = sorted(set(pdf.old_field)), sorted(set(pdf.new_field))
-    w = np.zeros((len(olds), len(news)))
+def _likeness(names: tuple[str, str], values: float, kinds: bool) -> float:
+    """How much alike two fields are: share of equal values, likeness of names, sameness of kinds."""
+    return values + 0.5 * SequenceMatcher(None, names[0].lower(), names[1].lower()).ratio() + 0.5 * kinds
+
+
+def _pairing(pdf: pd.DataFrame, weight) -> list[tuple]:
+    """Rows of one table and snapshot that a bipartite matching of greatest weight picks, with their weight."""
+    olds, news = {x: i for i, x in enumerate(sorted(set(pdf.old_field)))}, {x: i for i, x in enumerate(sorted(set(pdf.new_field)))}
+    w, row = np.zeros((len(olds), len(news))), {}
     for r in pdf.itertuples():
-        if r.n == r.n_equal and r.n_value > 0:
-            a, b = set(r.old_values), set(r.new_values)
-            low = sorted(a | b)[:SKETCH]
-            alike = sum(x in a and x in b for x in low) / max(1, len(low))
-            w[olds.index(r.old_field), news.index(r.new_field)] = 1 + alike + 0.5 * SequenceMatcher(None, r.old_field.lower(), r.new_field.lower()).ratio() + r.n_value / (1 + r.n_value)
-    found = [(olds[i], news[j]) for i, j in assignment(w)]
-    rows = [(pdf.table_name.iloc[0], int(pdf["at"].iloc[0]), a, b) for a, b in found]
+        at = olds[r.old_field], news[r.new_field]
+        w[at], row[at] = weight(r), r
+    return [(row[at], float(w[at])) for at in assignment(w)]
+
+
+def _match(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Renames among the pairs of one table and snapshot. Weights: likeness and the number of deliveries; 0 unless every delivery agrees."""
+
+    def weight(r) -> float:
+        if r.n != r.n_equal or not r.n_value:
+            return 0
+        a, b = set(r.old_values), set(r.new_values)
+        low = sorted(a | b)[:SKETCH]
+        return 1 + _likeness((r.old_field, r.new_field), sum(x in a and x in b for x in low) / max(1, len(low)), r.old_kinds == r.new_kinds) + r.n_value / (1 + r.n_value)
+
+    rows = [(r.table_name, int(r.at), r.old_field, r.new_field) for r, _ in _pairing(pdf, weight)]
     return pd.DataFrame(rows, columns=["table_name", "at", "old_field", "new_field"], dtype=object)
 
 
-def schema_changes(events: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Every change of shape: table_name, snapshot_id, change_kind (added, removed, renamed, retyped), old_field, new_field.
+def _bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df (written already), to be broadcast if it has no more than so many rows; beyond that joins shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
-    Changes are judged by what payloads carry, whatever schema ids say. A field that vanishes for a while and returns is neither removed nor added
-    then. Empty tables give no row.
-    """
+
+@dataclass
+class Lifetimes:
+    """What schema_changes() and likely_renames() both start from: order of snapshots, fields' lives, fields that came and went, and when."""
+
+    order: DataFrame
+    life: DataFrame
+    added: DataFrame
+    removed: DataFrame
+
+
+def field_lifetimes(events: DataFrame, snapshots: DataFrame) -> Lifetimes:
     order = snapshot_order(snapshots)
-    carried = carried_fields(events, order).select("table_name", "no", "fields")
-    carried = durable(carried)
+    carried = durable(carried_fields(events, order).select("table_name", "no", "fields"))
     steps = carried.select("table_name", "no").distinct()
     life = durable(lifetimes(carried))
     start = steps.groupBy("table_name").agg(F.min("no").alias("start"))
     ends = life.select("table_name", "field", F.col("last").alias("no")).join(following(steps), ["table_name", "no"]).where("next is not null")
     added = life.join(start, "table_name").where("first > start").select("table_name", F.col("first").alias("at"), F.col("field").alias("new_field"))
     removed = ends.select("table_name", F.col("next").alias("at"), F.col("field").alias("old_field"))
-    retyped = life.withColumn("at", _retyped_at()).where("at is not null").select("table_name", "at", F.col("field").alias("old_field"), F.col("field").alias("new_field"), F.lit("retyped").alias("change_kind"))
-    added, removed = durable(added), durable(removed)
-    pairs = removed.join(added, ["table_name", "at"])
-    by_table = pairs.groupBy("table_name").agg(F.collect_list(F.struct("at", F.col("old_field").alias("old"), F.col("new_field").alias("new"))).alias("pairs"), F.min("at").alias("since"))
-    both = events.where("before_json is not null and after_json is not null").select("table_name", "snapshot_id", "before_json", "after_json")
-    # Only pairs whose names stand in the texts are sent on. A name that is spelled with escapes may stand there unseen, so texts with any go along.
-    written = lambda text, name: F.col(text).contains(F.to_json(F.array(name)).substr(F.lit(2), F.char_length(F.to_json(F.array(name))) - 2)) | F.col(text).contains("\\")
-    pick = F.filter("pairs", lambda p: (F.col("no") >= p["at"]) & written("before_json", p["old"]) & written("after_json", p["new"]))
-    shown = both.join(by_table, "table_name").join(order, ["table_name", "snapshot_id"]).where("no >= since").withColumn("pairs", pick).where("size(pairs) > 0").select("table_name", "no", "before_json", "after_json", "pairs")
-    parts = shown.mapInArrow(_evidence, "table_name string, at bigint, old_field string, new_field string, n bigint, n_equal bigint, n_value bigint, old_values array<bigint>, new_values array<bigint>")
+    return Lifetimes(order, life, durable(added), durable(removed))
+
+
+def rename_evidence(events: DataFrame, fields: Lifetimes) -> DataFrame:
+    """Of each field lost and field gained at one snapshot that some delivery from there on shows before and after: what those deliveries say.
+
+    Deliveries meet the lost fields by table and name, then the gained ones by table and snapshot, so none carries a table's history with it.
+    """
+    both = events.where("before_json is not null and after_json is not null and table_name is not null").select("table_name", "snapshot_id", "before_json", "after_json")
+    meant = fields.removed.join(fields.added.select("table_name", "at").distinct(), ["table_name", "at"], "left_semi")
+    named = both.withColumn("old_field", F.explode(F.json_object_keys("before_json"))).join(_bounded(meant), ["table_name", "old_field"])
+    pairs = named.join(_bounded(fields.added), ["table_name", "at"]).where(F.array_contains(F.json_object_keys("after_json"), F.col("new_field")))
+    shown = pairs.join(fields.order, ["table_name", "snapshot_id"]).where("no >= at").select("table_name", "at", "old_field", "new_field", "before_json", "after_json")
+    parts = shown.mapInArrow(_evidence, "table_name string, at bigint, old_field string, new_field string, n bigint, n_equal bigint, n_value bigint, old_kinds bigint, new_kinds bigint, old_values array<bigint>, new_values array<bigint>")
     low = lambda c: F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))), 1, SKETCH).alias(c)
-    evidence = parts.groupBy("table_name", "at", "old_field", "new_field").agg(*[F.sum(c).alias(c) for c in ("n", "n_equal", "n_value")], low("old_values"), low("new_values"))
+    return parts.groupBy("table_name", "at", "old_field", "new_field").agg(*[F.sum(c).alias(c) for c in ("n", "n_equal", "n_value")], *[F.bit_or(c).alias(c) for c in ("old_kinds", "new_kinds")], low("old_values"), low("new_values"))
+
+
+def schema_changes(events: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Every change of shape: table_name, snapshot_id, change_kind (added, removed, renamed, retyped), old_field, new_field.
+
+    Changes are judged by what payloads carry, whatever schema ids say. A field that vanishes for a while and returns is neither removed nor added
+    then. Empty tables give no row.
+    """
+    fields = field_lifetimes(events, snapshots)
+    order, life, added, removed = fields.order, fields.life, fields.added, fields.removed
+    retyped = life.withColumn("at", _retyped_at()).where("at is not null").select("table_name", "at", F.col("field").alias("old_field"), F.col("field").alias("new_field"), F.lit("retyped").alias("change_kind"))
+    # The groups are small and many: as many tasks as there are cores share them.
+    evidence = rename_evidence(events, fields).repartition(events.sparkSession.sparkContext.defaultParallelism, "table_name", "at")
     renamed = durable(evidence.groupBy("table_name", "at").applyInPandas(_match, "table_name string, at bigint, old_field string, new_field string"))
     gone = removed.join(renamed, ["table_name", "at", "old_field"], "left_anti").select("table_name", "at", "old_field", F.lit("").alias("new_field"), F.lit("removed").alias("change_kind"))
     came = added.join(renamed, ["table_name", "at", "new_field"], "left_anti").select("table_name", "at", F.lit("").alias("old_field"), "new_field", F.lit("added").alias("change_kind"))
@@ -260,6 +304,34 @@ def schema_changes(events: DataFrame, snapshots: DataFrame) -> DataFrame:
     return cases.join(ids.withColumnRenamed("no", "at"), ["table_name", "at"]).select("table_name", "snapshot_id", "change_kind", "old_field", "new_field")
 
 
+def likely_renames(events: DataFrame, snapshots: DataFrame, least: float = 1.0) -> DataFrame:
+    """Renames that no delivery proves, as none shows the field before and after: table_name, snapshot_id, old_field, new_field, score.
+
+    Fields lost and gained at one snapshot are profiled by theta sketches of all their values and by kinds, and matched as a bipartite graph;
+    pairs are told from a score of least on (share of common values, plus half each for names and kinds). They are guesses, so
+    schema_changes() doesn't use them. Empty tables give no row.
+    """
+    fields = field_lifetimes(events, snapshots)
+    proven = rename_evidence(events, fields).select("table_name", "at", "old_field", "new_field")
+    open_ = durable(fields.removed.join(fields.added, ["table_name", "at"]).join(proven, ["table_name", "at", "old_field", "new_field"], "left_anti"))
+    names = durable(open_.select("table_name", F.col("old_field").alias("field")).unionByName(open_.select("table_name", F.col("new_field").alias("field"))).distinct())
+    values = events.where("after_json is not null").select("table_name", F.explode(F.from_json("after_json", "map<string,string>")).alias("field", "value")).join(_bounded(names), ["table_name", "field"])
+    sketch = durable(values.where("value is not null").groupBy("table_name", "field").agg(F.theta_sketch_agg("value").alias("sketch")))
+    kinds = fields.life.select("table_name", "field", F.concat_ws(",", *[F.when(F.col(f"min_{k}").isNotNull(), F.lit(k)) for k in KINDS]).alias("kinds"))
+    side = lambda c: sketch.join(kinds, ["table_name", "field"]).select("table_name", F.col("field").alias(f"{c}_field"), F.col("sketch").alias(f"{c}_sketch"), F.col("kinds").alias(f"{c}_kinds"))
+    size = lambda f: F.theta_sketch_estimate(f("old_sketch", "new_sketch"))
+    share = (size(F.theta_intersection) / size(F.theta_union)).alias("share")
+    pairs = open_.join(side("old"), ["table_name", "old_field"]).join(side("new"), ["table_name", "new_field"]).select("table_name", "at", "old_field", "new_field", share, (F.col("old_kinds") == F.col("new_kinds")).alias("alike"))
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = _pairing(pdf, lambda r: w if (w := _likeness((r.old_field, r.new_field), r.share, r.alike)) >= least else 0)
+        return pd.DataFrame([(r.table_name, int(r.at), r.old_field, r.new_field, w) for r, w in got], columns=["table_name", "at", "old_field", "new_field", "score"])
+
+    found = pairs.groupBy("table_name", "at").applyInPandas(best, "table_name string, at bigint, old_field string, new_field string, score double")
+    ids = fields.order.groupBy("table_name", "no").agg(F.min("snapshot_id").alias("snapshot_id")).withColumnRenamed("no", "at")
+    return found.join(ids, ["table_name", "at"]).select("table_name", "snapshot_id", "old_field", "new_field", "score")
+
+
 def _latest_names(pdf: pd.DataFrame) -> pd.DataFrame:
     """Where each old name of a table ends, along chains of renames."""
     step = dict(zip(pdf.old_field, pdf.new_field))
@@ -292,6 +364,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_changes(load(spark, sf_dir, "cdc_events"), load(spark, sf_dir, "snapshots"))
 
 
+def p3_likely_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return likely_renames(load(spark, sf_dir, "cdc_events"), load(spark, sf_dir, "snapshots")).withColumn("score", F.round("score", 3))
+
+
 def p3_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each table's unified form: fields, and in how many payloads each stands."""
     events = load(spark, sf_dir, "cdc_events").where("after_json is not null").select("table_name", "after_json", "_cdc_row_id", "_cdc_sequence")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..lake.compaction import current_files, matched, plan_rewrites, rewrite
 from ..lake.dedupe import p5_found
-from ..lake.drift import p3_found, p3_unified
+from ..lake.drift import p3_found, p3_likely_renames, p3_unified
 from ..lake.incremental import p4_found, p4_gaps
 from ..lake.upserts import p2_current_payload, p2_found, p2_unplaced
 from ..session import load, shared_path
@@ -44,7 +44,7 @@ def p1_unmoved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_targets": p1_targets, "p1_rewrite": p1_rewrite, "p1_unmoved": p1_unmoved, "p2_found": p2_found, "p2_current_payload": p2_current_payload, "p2_unplaced": p2_unplaced,
-    "p3_found": p3_found, "p3_unified": p3_unified, "p4_found": p4_found, "p4_gaps": p4_gaps, "p5_found": p5_found,
+    "p3_found": p3_found, "p3_unified": p3_unified, "p3_likely_renames": p3_likely_renames, "p4_found": p4_found, "p4_gaps": p4_gaps, "p5_found": p5_found,
 }
 
 _INT = "try_cast(try_cast(replace(replace(trim({0}), ',', ''), '_', '') AS DECIMAL(38,3)) AS BIGINT)"
@@ -74,9 +74,7 @@ iv AS (SELECT e.table_name, CASE WHEN e.f IS NULL THEN 0 ELSE a.no END AS lo, b.
 done AS (SELECT DISTINCT o.table_name, o.snapshot_id, o.no FROM o JOIN iv ON iv.table_name = o.table_name AND o.no > iv.lo AND o.no <= iv.hi)
 """
 
-SQL = {
-    "p1_found": _SMALL + "SELECT table_name, file_path FROM small WHERE n > 1",
-    "p1_unmoved": "WITH RECURSIVE" + _SMALL.strip().removeprefix("WITH") + """,
+_HOMES = "WITH RECURSIVE" + _SMALL.strip().removeprefix("WITH") + """,
 p AS (SELECT * FROM small WHERE n > 1),
 gone AS (SELECT d.table_name, d.file_path, max(d.snapshot_id) AS by_snapshot,
          (SELECT max(x.partition_path) FROM data_files x WHERE x.table_name = d.table_name AND x.file_path = d.file_path) AS part FROM data_files d
@@ -87,9 +85,19 @@ made AS (SELECT table_name, snapshot_id, partition_path, min(file_path) AS into_
 step AS (SELECT g.table_name, g.file_path, m.into_file FROM gone g JOIN made m ON g.table_name = m.table_name AND g.by_snapshot = m.snapshot_id AND g.part IS NOT DISTINCT FROM m.partition_path),
 trail AS (SELECT table_name, file_path, into_file FROM step UNION SELECT t.table_name, t.file_path, s.into_file FROM trail t JOIN step s ON s.table_name = t.table_name AND s.file_path = t.into_file),
 home AS (SELECT table_name, file_path, file_path AS into_file FROM p UNION SELECT table_name, file_path, into_file FROM trail),
-got AS (SELECT h.table_name, h.into_file, count(*) AS n FROM cdc_events e JOIN home h ON h.table_name = e.table_name AND h.file_path = e.file_path GROUP BY h.table_name, h.into_file)
-SELECT p.table_name, p.file_path, p.records, coalesce(got.n, 0) AS rows FROM p LEFT JOIN got ON got.table_name = p.table_name AND got.into_file = p.file_path
-WHERE coalesce(got.n, 0) IS DISTINCT FROM p.records""",
+got AS (SELECT h.table_name, h.into_file, count(*) AS n FROM cdc_events e JOIN home h ON h.table_name = e.table_name AND h.file_path = e.file_path GROUP BY h.table_name, h.into_file),
+full_plan AS (SELECT p.*, coalesce(got.n, 0) AS rows, coalesce(got.n, 0) IS NOT DISTINCT FROM p.records AS whole,
+              concat(coalesce(p.partition_path, '/'), ' ', CAST((sum(p.size) OVER (PARTITION BY p.table_name, p.partition_path ORDER BY p.file_path) - p.size) // 134217728 AS VARCHAR)) AS target
+              FROM p LEFT JOIN got ON got.table_name = p.table_name AND got.into_file = p.file_path)
+"""
+
+SQL = {
+    "p1_found": _SMALL + "SELECT table_name, file_path FROM small WHERE n > 1",
+    "p1_targets": _SMALL + """, t AS (SELECT *, (sum(size) OVER (PARTITION BY table_name, partition_path ORDER BY file_path) - size) // 134217728 AS no FROM small WHERE n > 1)
+SELECT table_name, count(*) AS small_files, CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(records) AS BIGINT) AS records, count(DISTINCT concat(coalesce(partition_path, '/'), ' ', CAST(no AS VARCHAR))) AS target_files FROM t GROUP BY table_name""",
+    "p1_rewrite": _HOMES + """SELECT table_name, count(*) AS small_files, CAST(sum(records) AS BIGINT) AS records, count(*) FILTER (WHERE NOT whole) AS unmoved_files, CAST(sum(rows) AS BIGINT) AS rows_before,
+CAST(coalesce(sum(rows) FILTER (WHERE whole), 0) AS BIGINT) AS rows_after, count(DISTINCT target) FILTER (WHERE whole AND rows > 0) AS target_files, bool_and(whole) AS reconciled FROM full_plan GROUP BY table_name""",
+    "p1_unmoved": _HOMES + "SELECT table_name, file_path, records, rows FROM full_plan WHERE NOT whole",
     "p2_found": """
 SELECT table_name, _cdc_row_id, max(_cdc_sequence) AS _cdc_sequence FROM cdc_events GROUP BY table_name, _cdc_row_id
 HAVING arg_max(lower(left(trim(_cdc_operation), 1)), _cdc_sequence) <> 'd'""",

@@ -36,6 +36,7 @@ def test_small_files(spark):
     assert rows(compaction.small_files(f, s).select("file_path", "size")) == [("f1", 100), ("f2", 50), ("f4", 10), ("f5", 10)]
     plan = compaction.plan_rewrites(f, s, target=60, ranges=1)
     assert plan.count() == 4 and plan.select("target_file").distinct().count() == 3
+    assert rows(compaction.plan_rewrites(f, s, target=60, ranges=4)) == rows(plan)
     assert compaction.plan_rewrites(f.limit(0), s.limit(0)).count() == 0
 
 
@@ -53,6 +54,11 @@ def test_compact_directory(spark):
     assert spark.read.parquet(at).count() == 5000
 
 
+def test_checksum_counts_nulls(spark):
+    sums = [compaction.checksum(spark.createDataFrame([x], "a int, b int, c array<int>, d map<string,int>")) for x in [(1, None, [1, None, 2], None), (None, 1, [1, None, 2], None), (1, None, [1, 2], None), (1, None, [1, 2], {}), (1, None, None, {"a": None})]]
+    assert len(set(sums)) == 5
+
+
 def test_rewrite_whole_plan(spark):
     files = [
         ("a", 1, 1, "f1", "d=1", 2, 100, 0), ("a", 1, 1, "f2", "d=1", 1, 100, 0), ("a", 2, 1, "f3", "d=1", 1, 100, 0), ("a", 3, 1, "f4", "d=1", 1, 100, 0),
@@ -72,6 +78,8 @@ def test_rewrite_whole_plan(spark):
     # table, small files, records, unmoved, before, after, targets, reconciled
     assert rows(report) == [("a", 2, 5, 0, 5, 5, 1, True), ("b", 3, 73, 2, 2, 1, 1, False), ("c", 2, 18, 2, 0, 0, 0, False)]
     assert rows(spark.read.parquet(f"{out}.unmoved")) == [("b", "g1", 70, 0), ("b", "g2", 2, 1), ("c", "h1", 9, 0), ("c", "h2", 9, 0)]
+    swap = rows(spark.read.parquet(f"{out}.entries").where("status = 2").select("file_path"))
+    assert swap == [("f4",), ("g3",), ("r2",)] and spark.read.parquet(f"{out}.entries").where("status = 1").count() == 2
     moved = spark.read.parquet(out)
     assert rows(moved.select("table_name", "file_path", "n", "v")) == sorted([x for x in ev if x[0] == "a" or x[1] == "g3"], key=repr)
     assert rows(moved.select("table_name", "mr_target").distinct()) == rows(plan.where("table_name <> 'c'").select("table_name", "target_file").distinct())
@@ -206,6 +214,17 @@ def test_drift_edges(spark):
     assert drift.schema_changes(ev.limit(0), sn.limit(0)).count() == 0
 
 
+def test_likely_renames(spark):
+    old = [("t", 10, None, json.dumps({"id": i, "colour": f"c{i % 7}", "qty": i})) for i in range(40)]
+    new = [("t", 20, None, json.dumps({"id": i, "paint": f"c{i % 7}", "note": f"n{i}"})) for i in range(40)]
+    ev = spark.createDataFrame([(i, "s", t, i, "c", "1", b, a, s, 0, "") for i, (t, s, b, a) in enumerate(old + new)], CDC)
+    sn = spark.createDataFrame([("t", 10, 1, "", 0), ("t", 20, 2, "", 0)], SNAP)
+    got = rows(drift.likely_renames(ev, sn).select("snapshot_id", "old_field", "new_field"))
+    assert got == [(20, "colour", "paint")]
+    assert drift.likely_renames(ev.limit(0), sn).count() == 0
+    assert {tuple(r)[2] for r in drift.schema_changes(ev, sn).collect()} == {"added", "removed"}
+
+
 def test_assignment():
     rng = np.random.default_rng(0)
     from itertools import permutations
