@@ -8,6 +8,7 @@ judged review made the case isn't said, so training and choosing the sentences a
 from __future__ import annotations
 
 import random
+import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
@@ -26,15 +27,19 @@ GRAMS = (3, 4, 5)
 MAX_LABELLED = 8_000  # judged reviews a model is fitted on, drawn by hash
 THRESHOLD = 0.5
 WINDOW, STRIDE = 9, 4  # words of a stretch, for sentences that aren't divided by a mark
+KNOWN = 200_000  # sentences whose scores a task keeps: templates and copies are read once
 
 _BREAK = regex.compile(r"</?(?:br|p|div|li|tr|td|h[1-6])\b[^<>]*>", regex.I)
 _TAG = regex.compile(r"</?[A-Za-z!?][^<>]*>")
 _UNSEEN = regex.compile(r"[\p{M}\p{Cf}\p{Default_Ignorable_Code_Point}--\s]|[\p{Cc}--\s]", regex.V1)
-_SPELLED = regex.compile(r"(?<![\p{L}\p{N}])[\p{L}\p{N}](?:([-._*·])[\p{L}\p{N}])(?:\1[\p{L}\p{N}])+(?![\p{L}\p{N}])")
-_SPACED = regex.compile(r"(?<![\p{L}\p{N}])[\p{L}\p{N}](?: [\p{L}\p{N}]){3,}(?![\p{L}\p{N}])")
-_END = regex.compile(r"[.!?…]+(?=\s|$|[\"'»)])|¡|¿")
+_SPELLED = re.compile(r"(?<![^\W_])[^\W_](?:([-._*·])[^\W_])(?:\1[^\W_])+(?![^\W_])")
+_SPACED = re.compile(r"(?<![^\W_])[^\W_](?: [^\W_]){3,}(?![^\W_])")
+_END = re.compile(r"[.!?…！？。]+(?=\s|$|[\"'»)])|¡|¿")
+# Ranges of controls and of characters that don't show.
+_HIDDEN = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff\U000e0000-\U000e0fff]")
 _TOKEN = regex.compile(r"[\p{L}\p{N}@$#*!_%&+]*[\p{L}\p{N}][\p{L}\p{N}@$#*_%&+]*(?:!(?=[\p{L}\p{N}])[\p{L}\p{N}@$#*_%&+]*)*")
-_RUN = regex.compile(r"(.)\1+")
+_SIGNS, _ASCII, _DOUBLE, _OTHER = re.compile(r"[@$#*!_%&+]"), re.compile(r"[a-z0-9]+"), re.compile(r"([a-z])\1+"), re.compile(r"[^\w]|_")
+_RUN = re.compile(r"(.)\1+")
 
 # Letters of other scripts, digits and signs that are written for Latin letters.
 _LOOK = str.maketrans("авсеніјкморѕтухѵгԁԛԝαβεικνορτυχ", "abcehijkmopstyxvrdqwabeiknoptux")
@@ -52,31 +57,47 @@ def fold(text: str) -> str:
 
 def tokens(sentence: str) -> list[str]:
     """Words of a folded sentence; disguises within a word are undone as far as they can be: f-o-o, f00, fooo. Numbers are all one word."""
+    if sentence.isascii() and not _SIGNS.search(sentence):
+        return [t if t.isalpha() else "0" if t.isdigit() else _bare(t) for t in _ASCII.findall(_DOUBLE.sub(r"\1", sentence))]
     out = []
     for t in _TOKEN.findall(sentence):
         if t.isascii() and t.isalpha():
             out.append(_RUN.sub(r"\1", t))
         elif t.isdigit():
             out.append("0")
-        else:
-            letters = sum(c.isalpha() for c in t)
-            if letters == 1 and t[1:].isdigit():  # part of a product's name
-                t = "0"
-            if letters >= 2 or (letters and (t[0].isdigit() and len(t) > 4 or any(c in "@$!#*" for c in t))):
-                t = t.translate(_LEET)
-            t = regex.sub(r"[^\p{L}\p{N}]", "*", t.strip("_*#&%+"))
-            if t:
-                out.append(_RUN.sub(r"\1", t))
+        elif t := _bare(t):
+            out.append(t)
     return out
 
 
-def sentences(text: str | None) -> list[tuple[str, ...]]:
-    """The sentences of a text, as words. Null and empty texts have none."""
+def _bare(t: str) -> str:
+    """A word that isn't just letters, with the letters its digits and signs are written for."""
+    letters = sum(c.isalpha() for c in t)
+    if letters == 1 and t[1:].isdigit():  # part of a product's name
+        t = "0"
+    if letters >= 2 or (letters and (t[0].isdigit() and len(t) > 4 or any(c in "@$!#*" for c in t))):
+        t = t.translate(_LEET)
+    return _RUN.sub(r"\1", _OTHER.sub("*", t.strip("_*#&%+")))
+
+
+def pieces(text: str | None) -> list[str]:
+    """A text divided at the ends of its sentences, each piece as it is written; tags and hidden characters, which may hide an end, are taken out first."""
     if not text:
         return []
-    t = _SPELLED.sub(lambda m: m[0].replace(m[1], ""), fold(text))
-    t = _SPACED.sub(lambda m: m[0].replace(" ", ""), t)
-    return [w for s in _END.split(t) if s and (w := tuple(tokens(s)))]
+    if "<" in text or _HIDDEN.search(text):
+        text = fold(text)
+    return [s for s in _END.split(text) if s]
+
+
+def read(piece: str) -> tuple[str, ...]:
+    """The words of a piece."""
+    t = _SPELLED.sub(lambda m: m[0].replace(m[1], ""), fold(piece))
+    return tuple(tokens(_SPACED.sub(lambda m: m[0].replace(" ", ""), t)))
+
+
+def sentences(text: str | None) -> list[tuple[str, ...]]:
+    """The sentences of a text, as words. Null and empty texts have none."""
+    return [w for s in pieces(text) if (w := read(s))]
 
 
 def grams(word: str) -> list[int]:
@@ -92,16 +113,24 @@ class Model:
     embedding: np.ndarray
     weight: np.ndarray
     bias: np.ndarray
-    _words: dict[str, tuple[np.ndarray, int, int]] = field(default_factory=dict)
-
-    def _word(self, w: str) -> tuple[np.ndarray, int, int]:
-        got = self._words.get(w)
-        if got is None:
-            if len(self._words) > 200_000:
-                self._words.clear()
-            g = grams(w)
-            got = self._words[w] = (self.embedding[g].sum(0), len(g), crc32(w.encode()))
-        return got
+    _at: dict[str, int] = field(default_factory=dict)
+    _words: tuple[np.ndarray, ...] = ()
+
+    def _known(self, words: list[str]) -> np.ndarray:
+        """Numbers of words; of each the sum of its subwords' embeddings, how many they are, and its hash are kept in _words."""
+        if len(self._at) > 200_000:
+            self._at.clear()
+        if not self._at:
+            self._words = np.zeros((0, DIM)), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        at, had = self._at, len(self._at)
+        ids = np.fromiter((at.setdefault(w, len(at)) for w in words), np.int64, len(words))
+        new = list(at)[had:] if len(at) > had else []
+        if new:
+            g = [grams(w) for w in new]
+            n = np.array([len(x) for x in g])
+            sums = np.add.reduceat(self.embedding[np.concatenate(g)].astype(np.float64), _starts(n), axis=0)
+            self._words = np.vstack([self._words[0], sums]), np.append(self._words[1], n), np.append(self._words[2], np.array([crc32(w.encode()) for w in new], np.uint64))
+        return ids
 
     def scores(self, texts: list[list[tuple[str, ...]]]) -> np.ndarray:
         """For each text (its sentences), the greatest probability of each kind over stretches of its sentences; shape (texts, kinds), of 'none' the least."""
@@ -110,29 +139,32 @@ class Model:
         out[:, 0] = 1
         if not flat:
             return out
-        got = [self._word(w) for w in flat]
-        vec = np.stack([g[0] for g in got]).astype(np.float64)
-        n, h = np.array([g[1] for g in got]), np.array([g[2] for g in got], np.uint64)
+        ids = self._known(flat)
+        vec, n, h = (x[ids] for x in self._words)
         sizes = np.array([len(s) for t in texts for s in t])
         owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-        first = np.cumsum(sizes) - sizes
         pair = self.embedding[(_pairs(h[:-1], h[1:]))]  # between word k and k + 1
         vsum, nsum = np.vstack([np.zeros((1, DIM)), np.cumsum(vec, 0)]), np.concatenate([[0], np.cumsum(n)])
         psum = np.vstack([np.zeros((1, DIM)), np.cumsum(pair, 0, dtype=np.float64)])
-        spans = [(a, a + k, o) for a, k, o in zip(first.tolist(), sizes.tolist(), owner.tolist())]
-        spans += [(b, min(b + WINDOW, a + k), o) for a, k, o in spans_of(first, sizes, owner) for b in range(a, a + k - WINDOW + STRIDE, STRIDE)]
-        a, b, o = (np.array(x) for x in zip(*spans))
+        a, b, o = spans(sizes, owner)
         mean = (vsum[b] - vsum[a] + psum[b - 1] - psum[a]) / (nsum[b] - nsum[a] + b - a - 1)[:, None]
         p = _softmax(mean @ self.weight + self.bias)
-        np.maximum.at(out[:, 1:], o, p[:, 1:])
-        np.minimum.at(out[:, 0], o, p[:, 0])
+        by = np.argsort(o, kind="stable")
+        p, at = p[by], np.flatnonzero(np.r_[True, np.diff(o[by]) > 0])
+        out[o[by][at], 1:] = np.maximum.reduceat(p[:, 1:], at, axis=0)
+        out[o[by][at], 0] = np.minimum.reduceat(p[:, 0], at)
         return out
 
 
-def spans_of(first: np.ndarray, sizes: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """Sentences long enough to be read in stretches: first word, words, text."""
-    long = sizes > WINDOW + 2
-    return zip(first[long].tolist(), sizes[long].tolist(), owner[long].tolist())
+def spans(sizes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, word after the last, text) of every sentence, and of the stretches of those that are long."""
+    first = _starts(sizes)
+    long = np.flatnonzero(sizes > WINDOW + 2)
+    n = -(-(sizes[long] - WINDOW + STRIDE) // STRIDE)
+    each = np.repeat(long, n)
+    a = first[each] + STRIDE * (np.arange(n.sum()) - np.repeat(_starts(n), n))
+    b = np.minimum(a + WINDOW, first[each] + sizes[each])
+    return np.concatenate([first, a]), np.concatenate([first + sizes, b]), np.concatenate([owner, owner[each]])
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -310,17 +342,48 @@ def judged_texts(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELL
     return [(r["text"], r["said"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
 
 
+class Reader:
+    """Scores texts piece by piece; a piece that was met before isn't read again."""
+
+    def __init__(self, model: Model, most: int = KNOWN):
+        self.model, self.most = model, most
+        self._forget()
+
+    def _forget(self) -> None:
+        self._at: dict[str, int] = {}
+        self._p = np.zeros((1, len(KINDS) - 1))  # row 0: of no piece
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """For each text the greatest probability of each kind but 'none'; shape (texts, kinds)."""
+        if len(self._at) > self.most:
+            self._forget()
+        flat: list[int] = []
+        begin, new, at = [], [], self._at
+        for t in texts:
+            begin.append(len(flat))
+            flat.append(0)
+            for s in pieces(t):
+                k = at.get(s)
+                if k is None:
+                    k = at[s] = len(at) + 1
+                    new.append(s)
+                flat.append(k)
+        if new:
+            self._p = np.vstack([self._p, self.model.scores([[w] if (w := read(s)) else [] for s in new])[:, 1:]])
+        return np.maximum.reduceat(self._p[flat], begin, axis=0) if texts else self._p[:0]
+
+
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, abusive, hateful, sexual: the greatest probability of each kind over the text's sentences, 0 for texts without words."""
     shared = documents.sparkSession.sparkContext.broadcast((model.embedding, model.weight, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(*shared.value)
+        reader = Reader(Model(*shared.value))
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                p = m.scores([sentences(t) for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(p[:, i]) for i in (1, 2, 3))], names=["doc_id", *KINDS[1:]])
+            for lo in range(0, b.num_rows, 1000):
+                part = b.slice(lo, 1000)
+                p = reader.scores(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(p[:, i]) for i in range(3))], names=["doc_id", *KINDS[1:]])
 
     return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, abusive double, hateful double, sexual double")
 

@@ -6,30 +6,50 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from millrace.llm.packing import balanced, fill, pack, packed, tokenizer
+from millrace.llm.packing import deal, fill, pack, packed, tokenizer
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 64), max_size=200))
 def test_fill(sizes):
     sizes = np.array(sizes, np.int64)
-    place, offset = fill(sizes, 64, (8, 16, 32, 64))
-    used = {}
-    for s, w, o in zip(sizes, place, offset):
+    place, offset, context, begins = fill(sizes, (8, 16, 32, 64))
+    used, spans = {}, {}
+    for s, w, o, c, b in zip(sizes, place, offset, context, begins):
+        assert b <= o and o + s <= b + c and (s <= 8 or c >= s)
+        spans.setdefault((w, b), set()).add(c)
         for x in range(o, o + s):
             assert x < 64 and (w, x) not in used
             used[w, x] = True
+    assert all(len(x) == 1 for (w, b), x in spans.items() if any(w == v and b == y and s > 8 for s, v, y in zip(sizes, place, begins)))
     if len(sizes):
         # Best fit: no two windows are at most half full.
         room = np.bincount(place, weights=sizes, minlength=place.max() + 1)
         assert (room <= 32).sum() <= 1
 
 
-def test_balanced():
-    cost = np.random.default_rng(0).lognormal(size=1000)
-    step = balanced(cost, 50)
-    by = np.bincount(step, weights=cost)
-    assert np.bincount(step).max() == 50 and by.max() / by.min() < 1.2 and len(balanced(np.array([]))) == 0
+def test_tiers_matter():
+    """With tiers short texts share short contexts, so that less is attended to, at about the same use of room."""
+    sizes = np.minimum(np.random.default_rng(1).lognormal(5, 1.1, 20_000).astype(np.int64) + 1, 2048)
+    told = {}
+    for tiers in ((2048,), (128, 256, 512, 1024, 2048)):
+        place, offset, context, begins = fill(sizes, tiers)
+        use = np.bincount(np.unique(np.stack([place, begins]), axis=1, return_inverse=True)[1], weights=sizes)
+        told[len(tiers)] = (place.max() + 1, (use**2).sum(), len({*zip(place, offset)}))
+    best = -(-sizes.sum() // 2048)
+    assert told[1][0] <= best * 1.005 and told[5][0] <= best * 1.01 and told[5][1] < 0.7 * told[1][1]
+
+
+def test_deal(spark):
+    cost = np.minimum(np.random.default_rng(0).lognormal(sigma=0.5, size=5000), 2.5)  # a window's cost has a ceiling
+    df = spark.createDataFrame([(i, float(c)) for i, c in enumerate(cost)], "sequence bigint, cost double").repartition(7)
+    got = deal(df, 50).collect()
+    by, n = np.zeros(100), np.zeros(100)
+    for r in got:
+        by[r["step"]] += cost[r["sequence"]]
+        n[r["step"]] += 1
+    assert len({r["sequence"] for r in got}) == 5000 and n.max() == n.min() == 50 and by.max() / by.min() < 1.01
+    assert deal(df.limit(0)).count() == 0
 
 
 def test_pack(spark):
