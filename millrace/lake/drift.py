@@ -365,7 +365,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_likely_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return likely_renames(load(spark, sf_dir, "cdc_events"), load(spark, sf_dir, "snapshots")).withColumn("score", F.round("score", 3))
+    """The renames told from values, kinds and names alone, as if no delivery had a before image."""
+    return likely_renames(load(spark, sf_dir, "cdc_events").withColumn("before_json", F.lit(None).cast("string")), load(spark, sf_dir, "snapshots")).withColumn("score", F.round("score", 3))
 
 
 def p3_unified(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,14 +6,12 @@ many intervals is spread over as many groups as its numbers need, and no group i
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..session import load, shared_path
-from .compaction import _fs
+from . import files
 from .values import status
 
 BITS = 12
@@ -111,14 +109,13 @@ class IntervalLedger:
         self.spark, self.path = spark, (path or shared_path(spark, "ledger")).rstrip("/")
 
     def _commits(self) -> list[dict]:
-        fs, p = _fs(self.spark, f"{self.path}/commits")
-        if not fs.exists(p):
-            return []
-        texts = (self.spark.read.text(str(s.getPath()), wholetext=True).first()[0] for s in fs.listStatus(p) if s.getPath().getName().endswith(".json"))
-        return sorted((json.loads(x) for x in texts), key=lambda c: c["no"])
+        return [files.get(self.spark, f"{self.path}/commits/{n}") for n in files.names(self.spark, f"{self.path}/commits")]
+
+    def _last(self) -> list[dict]:
+        return [files.get(self.spark, f"{self.path}/commits/{n}") for n in files.names(self.spark, f"{self.path}/commits")[-1:]]
 
     def done(self, schema: str = "source string, block bigint, lo bigint, hi bigint") -> DataFrame:
-        last = self._commits()[-1:]
+        last = self._last()
         return self.spark.read.schema(schema).parquet(last[0]["ledger"]) if last else self.spark.createDataFrame([], schema)
 
     def pending(self, rows: DataFrame, source: str, sequence: str) -> DataFrame:
@@ -127,27 +124,24 @@ class IntervalLedger:
         old = covered_by(ids, self.done(), ["source"], "__n").select(F.col("source").alias("__s"), "__n")
         return rows.join(old, (F.col(source) == F.col("__s")) & (F.col(sequence) == F.col("__n")), "left_anti")
 
-    def commit(self, run_id: str, output: DataFrame, source: str, sequence: str, fail_before_commit: bool = False) -> bool:
-        """Write a run's output and the merged intervals, then make both count. False if that run was committed already."""
+    def commit(self, run_id: str, output: DataFrame, source: str, sequence: str, taken: DataFrame | None = None, fail_before_commit: bool = False) -> bool:
+        """Write a run's output and the merged intervals, then make both count. False if that run was committed already.
+
+        taken are the rows the run was given (any with source and sequence): all their numbers count as processed, also those that the run filtered out.
+        Without it they are those of the output. Rows of null source or number are no change and aren't noted.
+        """
         commits = self._commits()
         if any(c["run"] == run_id for c in commits):
             return False
         no = len(commits)
         output.write.mode("overwrite").parquet(f"{self.path}/out/run={run_id}")
-        written = self.spark.read.parquet(f"{self.path}/out/run={run_id}")
-        new = written.select(F.col(source).alias("source"), (F.col(sequence) - 1).alias("lo"), F.col(sequence).alias("hi")).distinct()
+        given = taken if taken is not None else self.spark.read.schema(output.schema).parquet(f"{self.path}/out/run={run_id}")
+        new = given.where(F.col(source).isNotNull() & F.col(sequence).isNotNull()).select(F.col(source).alias("source"), (F.col(sequence) - 1).alias("lo"), F.col(sequence).alias("hi")).distinct()
         merged = merge_intervals(self.done().select("source", "lo", "hi").unionByName(new), ["source"])
         merged.write.mode("overwrite").parquet(f"{self.path}/ledger/run={run_id}")
         if fail_before_commit:
             raise RuntimeError("died before the commit")
-        fs, at = _fs(self.spark, f"{self.path}/commits/{no:08d}.json")
-        P = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        fs.mkdirs(at.getParent())
-        tmp = P(f"{self.path}/commits/_{run_id}.tmp")
-        stream = fs.create(tmp, True)
-        stream.write(bytearray(json.dumps({"no": no, "run": run_id, "ledger": f"{self.path}/ledger/run={run_id}", "out": f"{self.path}/out/run={run_id}"}).encode()))
-        stream.close()
-        if not fs.rename(tmp, at):
+        if not files.put(self.spark, f"{self.path}/commits/{no:08d}.json", {"no": no, "run": run_id, "ledger": f"{self.path}/ledger/run={run_id}", "out": f"{self.path}/out/run={run_id}"}):
             raise OSError(f"another run took commit {no}")
         return True
 
@@ -161,6 +155,18 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pending_changes(load(spark, sf_dir, "cdc_events"), load(spark, sf_dir, "snapshots"), load(spark, sf_dir, "consumer_runs"))
 
 
+def p4_committed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a consumer that keeps its ledger has put out after a run that died, its repetition and a run that finds nothing: every pending change once."""
+    ledger, todo = IntervalLedger(spark), p4_found(spark, sf_dir)
+    for fails in (True, False, False):
+        new = ledger.pending(todo, "source_do_id", "_cdc_sequence")
+        try:
+            ledger.commit("again" if ledger.output() is not None else "first", new, "source_do_id", "_cdc_sequence", new, fail_before_commit=fails)
+        except RuntimeError:
+            pass
+    return ledger.output()
+
+
 def p4_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By table, how many snapshots and intervals are still to be read."""
     snaps = load(spark, sf_dir, "snapshots").where("sequence_number is not null").select("table_name", (F.col("sequence_number") - 1).alias("lo"), F.col("sequence_number").alias("hi")).distinct()

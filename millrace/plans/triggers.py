@@ -41,7 +41,7 @@ def audit(table: str, event: str, key: str = "id") -> Callable:
     """Append key, event and the row as JSON to a table (row_id TEXT, event TEXT, row TEXT)."""
 
     def f(db, rows: DataFrame) -> DataFrame:
-        db.lake(table).append(rows.select(F.col(key).cast("string").alias("row_id"), F.lit(event).alias("event"), F.to_json(F.struct(*rows.columns)).alias("row")))
+        db.append(table, rows.select(F.col(key).cast("string").alias("row_id"), F.lit(event).alias("event"), F.to_json(F.struct(*rows.columns)).alias("row")))
         return rows
 
     return f
@@ -51,9 +51,18 @@ def cascade(child: str, column: str, key: str = "id") -> Callable:
     """After a delete: drop the children of the deleted rows."""
 
     def f(db, rows: DataFrame) -> DataFrame:
-        lake = db.lake(child)
-        head = lake.head()
-        lake.overwrite(lake.read().join(rows.select(F.col(key).alias(column)), column, "left_anti").select(*lake.read().columns), operation="cascade", on=head)
+        kids = db.table(child)
+        db._drop_rows(child, kids.join(rows.select(F.col(key).alias(column)), column, "left_semi").select(*kids.columns))
         return rows
 
     return f
+
+
+def soft_delete(mark: str = "deleted_at", key: str = "id", table: str | None = None) -> Callable:
+    """Before a delete: keep the rows (of a keyed table), with the time in a column, and delete nothing."""
+
+    def f(db, rows: DataFrame) -> DataFrame:
+        db._apply(table, rows, rows.withColumn(mark, F.current_timestamp()), "soft delete")
+        return rows.limit(0)
+
+    return f

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..lake.compaction import current_files, matched, plan_rewrites, rewrite
 from ..lake.dedupe import p5_found
 from ..lake.drift import p3_found, p3_likely_renames, p3_unified
-from ..lake.incremental import p4_found, p4_gaps
+from ..lake.incremental import p4_committed, p4_found, p4_gaps
 from ..lake.upserts import p2_current_payload, p2_found, p2_unplaced
 from ..session import load, shared_path
 
@@ -44,7 +44,7 @@ def p1_unmoved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_targets": p1_targets, "p1_rewrite": p1_rewrite, "p1_unmoved": p1_unmoved, "p2_found": p2_found, "p2_current_payload": p2_current_payload, "p2_unplaced": p2_unplaced,
-    "p3_found": p3_found, "p3_unified": p3_unified, "p3_likely_renames": p3_likely_renames, "p4_found": p4_found, "p4_gaps": p4_gaps, "p5_found": p5_found,
+    "p3_found": p3_found, "p3_unified": p3_unified, "p3_likely_renames": p3_likely_renames, "p4_found": p4_found, "p4_gaps": p4_gaps, "p4_committed": p4_committed, "p5_found": p5_found,
 }
 
 _INT = "try_cast(try_cast(replace(replace(trim({0}), ',', ''), '_', '') AS DECIMAL(38,3)) AS BIGINT)"
@@ -91,7 +91,7 @@ full_plan AS (SELECT p.*, coalesce(got.n, 0) AS rows, coalesce(got.n, 0) IS NOT
               FROM p LEFT JOIN got ON got.table_name = p.table_name AND got.into_file = p.file_path)
 """
 
-SQL = {
+SQL: dict[str, str] = {
     "p1_found": _SMALL + "SELECT table_name, file_path FROM small WHERE n > 1",
     "p1_targets": _SMALL + """, t AS (SELECT *, (sum(size) OVER (PARTITION BY table_name, partition_path ORDER BY file_path) - size) // 134217728 AS no FROM small WHERE n > 1)
 SELECT table_name, count(*) AS small_files, CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(records) AS BIGINT) AS records, count(DISTINCT concat(coalesce(partition_path, '/'), ' ', CAST(no AS VARCHAR))) AS target_files FROM t GROUP BY table_name""",
@@ -107,6 +107,26 @@ FROM (SELECT table_name, _cdc_row_id, _cdc_sequence, _cdc_operation, after_json
 HAVING arg_max(lower(left(trim(_cdc_operation), 1)), _cdc_sequence) <> 'd'""",
     "p2_unplaced": """
 SELECT table_name, count(*) AS deliveries, count(*) FILTER (WHERE table_name IS NULL OR _cdc_row_id IS NULL OR _cdc_sequence IS NULL) AS unplaced FROM cdc_events GROUP BY table_name""",
+    "p3_found": """
+WITH o AS (SELECT DISTINCT table_name, snapshot_id, sequence_number AS no FROM snapshots WHERE sequence_number IS NOT NULL),
+e AS (SELECT c.table_name, o.no, c.before_json, c.after_json FROM cdc_events c JOIN o ON c.table_name = o.table_name AND c.snapshot_id = o.snapshot_id WHERE after_json IS NOT NULL),
+steps AS (SELECT table_name, no, lead(no) OVER (PARTITION BY table_name ORDER BY no) AS following, min(no) OVER (PARTITION BY table_name) AS first_no FROM (SELECT DISTINCT table_name, no FROM e)),
+f AS (SELECT table_name, no, unnest(json_keys(after_json)) AS field, after_json FROM e),
+k AS (SELECT table_name, field, no, CASE json_type(json_extract(after_json, '$."' || field || '"')) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN NULL ELSE 'number' END AS kind FROM f),
+life AS (SELECT table_name, field, min(no) AS lo, max(no) AS hi FROM f GROUP BY ALL),
+added AS (SELECT DISTINCT l.table_name, l.lo AS moment, l.field FROM life l JOIN steps s ON s.table_name = l.table_name WHERE l.lo > s.first_no),
+removed AS (SELECT l.table_name, s.following AS moment, l.field FROM life l JOIN steps s ON s.table_name = l.table_name AND s.no = l.hi WHERE s.following IS NOT NULL),
+seen AS (SELECT r.table_name, r.moment, r.field AS old_field, a.field AS new_field, CAST(json_extract(e.before_json, '$."' || r.field || '"') AS VARCHAR) AS x, CAST(json_extract(e.after_json, '$."' || a.field || '"') AS VARCHAR) AS y
+         FROM removed r JOIN added a ON a.table_name = r.table_name AND a.moment = r.moment JOIN e ON e.table_name = r.table_name AND e.no >= r.moment AND e.before_json IS NOT NULL
+         WHERE list_contains(json_keys(e.before_json), r.field) AND list_contains(json_keys(e.after_json), a.field)),
+renamed AS (SELECT table_name, moment, old_field, new_field FROM seen GROUP BY ALL HAVING bool_and(x = y) AND count(*) FILTER (WHERE x <> 'null') > 0),
+kinds AS (SELECT table_name, field, kind, min(no) AS lo, max(no) AS hi, count(*) OVER (PARTITION BY table_name, field) AS n FROM k WHERE kind IS NOT NULL GROUP BY table_name, field, kind),
+cases AS (
+  SELECT table_name, moment, 'renamed' AS change_kind, old_field, new_field FROM renamed
+  UNION ALL SELECT table_name, moment, 'added', '', field FROM added x WHERE NOT EXISTS (SELECT 1 FROM renamed r WHERE r.table_name = x.table_name AND r.moment = x.moment AND r.new_field = x.field)
+  UNION ALL SELECT table_name, moment, 'removed', field, '' FROM removed x WHERE NOT EXISTS (SELECT 1 FROM renamed r WHERE r.table_name = x.table_name AND r.moment = x.moment AND r.old_field = x.field)
+  UNION ALL SELECT a.table_name, b.lo, 'retyped', a.field, a.field FROM kinds a JOIN kinds b ON a.table_name = b.table_name AND a.field = b.field AND a.n = 2 AND a.hi < b.lo)
+SELECT c.table_name, o.snapshot_id, change_kind, old_field, new_field FROM cases c JOIN o ON o.table_name = c.table_name AND o.no = c.moment""",
     "p4_found": f"""WITH {_COVERED}
 SELECT source_do_id, _cdc_sequence FROM cdc_events c LEFT JOIN done ON done.table_name = c.table_name AND done.snapshot_id = c.snapshot_id
 GROUP BY source_do_id, _cdc_sequence HAVING count(done.no) = 0""",
@@ -121,3 +141,4 @@ SELECT 'rpc' AS feed, n AS delivery_id FROM low WHERE m < n
 UNION ALL
 SELECT 'cdc', delivery_id FROM (SELECT delivery_id, min(delivery_id) OVER (PARTITION BY source_do_id, _cdc_sequence) AS m FROM cdc_events) WHERE delivery_id > m""",
 }
+SQL["p4_committed"] = SQL["p4_found"]

@@ -90,6 +90,96 @@ def test_foreign_keys_views_triggers(db):
     assert any("Scan" in r[0] for r in db.sql("EXPLAIN SELECT * FROM t").select("detail").collect())
 
 
+def test_transactions_are_isolated(db):
+    other = Database(db.spark, db.path)
+    db.sql("BEGIN")
+    db.sql("UPDATE t SET v = 9 WHERE id = 1")
+    db.sql("INSERT INTO t (id, name) VALUES (7, 'new')")
+    assert one(other.sql("SELECT count(*), max(v) FROM t")) == [(3, 3.0)] and one(db.sql("SELECT count(*), max(v) FROM t")) == [(4, 9.0)]
+    db.sql("COMMIT")
+    assert one(other.sql("SELECT count(*), max(v) FROM t")) == [(4, 9.0)]
+    db.sql("BEGIN")
+    db.sql("DELETE FROM t WHERE id = 7")
+    other.sql("UPDATE t SET name = 'x' WHERE id = 2")
+    with pytest.raises(Conflict):
+        db.sql("COMMIT")
+    assert one(db.sql("SELECT count(*) FROM t WHERE id = 7 OR name = 'x'")) == [(2,)]
+    with pytest.raises(ConstraintError):
+        db.sql("BEGIN")
+        db.sql("DELETE FROM t")
+        db.sql("INSERT OR ROLLBACK INTO t (id, name) VALUES (20, NULL)")
+    assert db._txn is None and one(db.sql("SELECT count(*) FROM t")) == [(4,)]
+    with pytest.raises(ConstraintError):
+        db.sql("INSERT OR FAIL INTO t (id, name) VALUES (30, 'ok'), (31, NULL), (1, 'again')")
+    assert sorted(one(db.sql("SELECT id FROM t WHERE id >= 30"))) == [(30,)]
+
+
+def test_one_row_update_writes_one_row(db):
+    dirs = [d["dir"] for d in db.lake("t").head()["dirs"]]
+    db.sql("UPDATE t SET v = 8 WHERE id = 2")
+    head = db.lake("t").head()
+    new = [d["dir"] for d in head["dirs"] if d["dir"] not in dirs]
+    assert len(new) == 1 and db.spark.read.parquet(f"{db.lake('t').path}/data/{new[0]}").count() == 1 and len(head["deletes"]) == 1
+
+
+def test_sql_triggers(db):
+    db.sql("CREATE TABLE log (what TEXT, old REAL, new REAL)")
+    db.sql("CREATE TRIGGER a AFTER UPDATE OF v ON t WHEN NEW.v > OLD.v BEGIN INSERT INTO log VALUES ('up ' || NEW.name, OLD.v, NEW.v); END")
+    db.sql("CREATE TRIGGER b BEFORE DELETE ON t BEGIN SELECT RAISE(ABORT, 'a stays') WHERE OLD.name = 'a'; SELECT CASE WHEN OLD.v >= 3 THEN RAISE(IGNORE) END; END;")
+    db.sql("CREATE TRIGGER c AFTER INSERT ON t FOR EACH ROW BEGIN UPDATE t SET name = upper(name) WHERE id = NEW.id; DELETE FROM log WHERE log.new < NEW.v; END")
+    db.sql("UPDATE t SET v = v + 5 WHERE id < 3")
+    db.sql("UPDATE t SET v = v - 1 WHERE id = 1")
+    db.sql("UPDATE t SET name = 'z' WHERE id = 3")
+    assert sorted(one(db.sql("SELECT * FROM log"))) == [("up a", 1.0, 6.0), ("up it's", 2.0, 7.0)]
+    with pytest.raises(ConstraintError, match="a stays"):
+        db.sql("DELETE FROM t")
+    db.sql("DELETE FROM t WHERE id = 3")
+    assert one(db.sql("SELECT count(*) FROM t")) == [(3,)]
+    again = Database(db.spark, db.path)  # triggers and tables are found again
+    again.sql("INSERT INTO t (id, name, v) VALUES (5, 'low', 6.5)")
+    assert one(again.sql("SELECT name FROM t WHERE id = 5")) == [("LOW",)] and one(again.sql("SELECT new FROM log")) == [(7.0,)]
+    again.sql("CREATE VIEW names AS SELECT id, name FROM t GROUP BY id, name")
+    again.sql("CREATE TRIGGER d INSTEAD OF INSERT ON names BEGIN INSERT INTO t (id, name) VALUES (NEW.id, NEW.name); END")
+    again.sql("CREATE TRIGGER e INSTEAD OF UPDATE ON names BEGIN UPDATE t SET name = NEW.name WHERE id = OLD.id; END")
+    again.sql("CREATE TRIGGER f INSTEAD OF DELETE ON names BEGIN UPDATE t SET v = 0 WHERE id = OLD.id; END")
+    again.sql("INSERT INTO names VALUES (6, 'six')")
+    again.sql("UPDATE names SET name = 'sechs' WHERE id = 6")
+    again.sql("DELETE FROM names WHERE id = 6")
+    assert one(again.sql("SELECT name, v FROM t WHERE id = 6")) == [("sechs", 0.0)]
+    again.sql("DROP TRIGGER d")
+    with pytest.raises(ValueError):
+        again.sql("INSERT INTO names VALUES (7, 'x')")
+
+
+def test_foreign_actions_views_explain(db):
+    db.sql("CREATE TABLE kid (id INTEGER PRIMARY KEY, p INTEGER REFERENCES t(id) ON DELETE CASCADE ON UPDATE CASCADE)")
+    db.sql("CREATE TABLE pet (id INTEGER, p INTEGER, FOREIGN KEY (p) REFERENCES t(id) ON DELETE SET NULL)")
+    db.sql("CREATE TABLE toy (id INTEGER, k INTEGER REFERENCES kid(id) ON DELETE RESTRICT)")
+    db.sql("INSERT INTO kid VALUES (1, 1), (2, 2), (3, 1)")
+    db.sql("INSERT INTO pet VALUES (1, 1), (2, 2), (2, 2)")
+    db.sql("INSERT INTO toy VALUES (1, 2)")
+    db.sql("UPDATE t SET id = 11 WHERE id = 1")
+    assert sorted(one(db.sql("SELECT id, p FROM kid"))) == [(1, 11), (2, 2), (3, 11)]
+    db.sql("DELETE FROM t WHERE id = 11")
+    assert one(db.sql("SELECT id FROM kid")) == [(2,)]
+    with pytest.raises(ConstraintError):
+        db.sql("DELETE FROM t WHERE id = 2")
+    db.sql("CREATE VIEW big AS SELECT * FROM t WHERE v > 2 WITH CHECK OPTION")
+    db.sql("INSERT INTO big (id, name, v) VALUES (40, 'in', 3)")
+    with pytest.raises(ConstraintError):
+        db.sql("INSERT INTO big (id, name, v) VALUES (41, 'out', 1)")
+    db.sql("CREATE MATERIALIZED VIEW sums AS SELECT count(*) AS n FROM t")
+    db.sql("DELETE FROM t WHERE id = 40")
+    n = one(db.sql("SELECT n FROM sums"))[0][0]
+    db.sql("REFRESH MATERIALIZED VIEW sums")
+    assert one(db.sql("SELECT n FROM sums")) == [(n - 1,)]
+    text = lambda q: "\n".join(r["detail"] for r in db.sql(q).collect())
+    import json
+
+    assert json.loads(text("EXPLAIN FORMAT JSON SELECT * FROM t"))["children"] is not None
+    assert "numOutputRows" in text("EXPLAIN ANALYZE FORMAT TREE SELECT count(*) FROM t") and "operator:" in text("EXPLAIN FORMAT=YAML SELECT 1")
+
+
 def test_lake_versions(spark):
     t = LakeTable.create(spark, shared_path(spark, "t"), "k int, v string")
     a = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
@@ -109,7 +199,7 @@ def test_lake_versions(spark):
     with pytest.raises(LookupError):
         t.read(version=99)
     t.drop_branch("dev")
-    assert t.prune(retain=1) >= 2 and t.read().count() == 3
+    assert t.prune(retain=1) == 0 and t.prune(retain=1, grace=0) >= 2 and t.read().count() == 3
     t.branch("ff")
     t.append(a.limit(1), branch="ff")
     t.merge("ff", ["k"])

@@ -284,6 +284,34 @@ def test_ledger(spark, tmp_path):
     assert sorted(r["seq"] for r in late.collect()) == [4, *range(10, 20)]
     led.commit("r2", late, "src", "seq")
     assert rows(led.output()) == rows(df) and led.pending(df, "src", "seq").count() == 0
+    # What a run filtered out isn't given to it again.
+    more = df.withColumn("seq", F.col("seq") + 100)
+    led.commit("r3", more.where("seq % 2 = 0"), "src", "seq", taken=more)
+    assert led.pending(more, "src", "seq").count() == 0 and led.output().count() == 30
+
+
+def test_rows_changed_by_key(spark):
+    from millrace.lake.tables import LakeTable
+
+    t = LakeTable.create(spark, shared_path(spark, "rows"), "id int, v string")
+    mk = lambda *x: spark.createDataFrame(list(x), "id int, v string")
+    t.append(mk((1, "a"), (2, "b"), (3, "c"), (None, "n")))
+    t.change(mk((2, "")), mk((2, "B")), ["id"])
+    t.append(mk((4, "d")))
+    t.alter(rename={"id": "key"})
+    t.change(mk((3, ""), (4, "")).withColumnRenamed("id", "key"), None, ["key"])
+    t.append(mk((3, "again")).withColumnRenamed("id", "key"))
+    assert rows(t.read()) == sorted([(1, "a"), (2, "B"), (3, "again"), (None, "n")], key=repr)
+    assert rows(t.read(version=2)) == sorted([(1, "a"), (2, "B"), (3, "c"), (None, "n")], key=repr)
+    before = rows(t.read())
+    t.compact(["key"])
+    assert rows(t.read()) == before and not t.head()["deletes"]
+    # A directory that a writer is about to commit stays.
+    head = t.head()
+    new = t._store(t._shaped(mk((9, "z")).withColumnRenamed("id", "key"), head), head)
+    t.prune(retain=1)
+    t.commit("append", [*head["dirs"], new], "main", head)
+    assert t.read().where("key = 9").count() == 1 and t.prune(retain=1, grace=0) > 0 and t.read().count() == 5
 
 
 # 5. Once each
