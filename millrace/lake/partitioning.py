@@ -44,6 +44,14 @@ def bucket_fnv(x: Column, n: int) -> Column:
     return F.when(x.isNull(), "__null__").otherwise(F.lpad((h % n).cast("string"), 4, "0"))
 
 
+def fnv1a(x: Column) -> Column:
+    """The public 32-bit FNV-1a hash of a text's UTF-8 bytes; null stays null."""
+    digits = F.hex(F.encode(x, "UTF-8"))
+    codes = F.when(x != "", F.transform(F.sequence(F.lit(0), F.greatest(F.length(digits) / 2, F.lit(1)).cast("int") - 1), lambda i: F.conv(F.substr(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("bigint")))
+    h = F.aggregate(F.coalesce(codes, F.array().cast("array<bigint>")), F.lit(2166136261).cast("bigint"), lambda h, b: F.pmod(h.bitwiseXOR(b) * 16777619, F.lit(2**32)))
+    return F.when(x.isNotNull(), h)
+
+
 def truncate(x: Column, width: int, kind: str = "string") -> Column:
     """The first width characters of text, or the multiple of width at or below a number."""
     return F.substring(x, 1, width) if kind == "string" else F.floor(x / width) * width

@@ -152,11 +152,10 @@ def json_group_array(value: Column, order: Column | None = None) -> Column:
 
 
 def json_group_object(key: Column, value: Column, order: Column | None = None) -> Column:
-    """A group's pairs as a JSON object; of equal keys the last counts, null keys are skipped."""
-    items = F.sort_array(F.collect_list(F.when(key.isNotNull(), F.struct((order if order is not None else key).alias("o"), key.alias("k"), value.alias("v")))))
-    keys = F.array_sort(F.array_distinct(F.transform(items, lambda x: x["k"])))
-    last = F.transform(keys, lambda k: F.element_at(F.filter(items, lambda x: x["k"] == k), -1)["v"])
-    return F.to_json(F.map_from_arrays(keys, last))
+    """A group's pairs as a JSON object; of equal keys the last in the order counts (without one, the one of greatest value), null keys are skipped."""
+    items = F.sort_array(F.collect_list(F.when(key.isNotNull(), F.struct(key.alias("k"), (order if order is not None else key).alias("o"), value.alias("v")))))
+    last = F.filter(items, lambda x, i: F.coalesce(F.get(items, i + 1)["k"] != x["k"], F.lit(True)))
+    return F.to_json(F.map_from_arrays(F.transform(last, lambda x: x["k"]), F.transform(last, lambda x: x["v"])))
 
 
 def total(value: Column) -> Column:
@@ -164,6 +163,22 @@ def total(value: Column) -> Column:
     return F.coalesce(F.sum(value.cast("double")), F.lit(0.0))
 
 
+def numbered(df: DataFrame, order: list[Column], into: str = "row_number", first: int = 1) -> DataFrame:
+    """df with the place of each row in an order over all rows, as row_number() OVER (ORDER BY ...) counts it, without a task that sees them all.
+
+    Rows go to sorted ranges, which are written; a row's place is its place in the range and the rows of the ranges before, of which only the numbers, one a
+    range, are gathered. An order with ties should end in a key, else equal rows have their places in any order.
+    """
+    rows = durable(df.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("__id", F.monotonically_increasing_id())
+    rows = rows.withColumn("__range", F.shiftright("__id", 33))
+    before, total = [], 0
+    for r in rows.groupBy("__range").agg(F.count("*").alias("n")).orderBy("__range").collect():
+        before.append((r[0], total))
+        total += r[1]
+    starts = F.broadcast(df.sparkSession.createDataFrame(before, "__range bigint, __before bigint"))
+    return rows.join(starts, "__range").select(*df.columns, (F.col("__before") + F.col("__id").bitwiseAND((1 << 33) - 1) + first).alias(into))
+
+
 def top_n(df: DataFrame, order: list[Column], n: int, offset: int = 0) -> DataFrame:
     """Rows offset+1 to offset+n in an order."""
     return df.orderBy(*order).offset(offset).limit(n) if offset else df.orderBy(*order).limit(n)

@@ -8,9 +8,10 @@ from ..lake import partitioning as pt
 from ..lake.tables import LakeTable
 from ..operators.search import IvfIndex, bm25, highlight, knn, knn_join, match, postings, snippet, tfidf
 from ..operators.relational import three_way_merge
+from ..operators.sharding import FnvIndex, HashIndex, ListIndex, RangeIndex, RingIndex, routed
 from ..plans.database import Database, orphans
 from ..session import load, shared_path, ship
-from ..sources.readers import metadata_aggregate, read_source, write_sink
+from ..sources.readers import detect_format, ingest, metadata_aggregate, read_source, resolve, write_sink
 from ..streaming import changelog as cl
 
 QUERIES: dict = {}
@@ -74,12 +75,32 @@ def _(s, d):
     return s.read.parquet(at).where("o_custkey = 7").select("o_orderkey", "o_totalprice")
 
 
-@op("src_metadata_aggregate", "SELECT count(*) AS n, CAST(min(o_orderkey) AS DOUBLE) AS lo, CAST(max(o_orderkey) AS DOUBLE) AS hi FROM orders")
+@op("src_metadata_aggregate", "SELECT count(*) AS n, min(o_orderkey) AS lo, max(o_orderkey) AS hi, CAST(sum(o_orderkey) AS VARCHAR) AS total FROM orders")
 def _(s, d):
-    ship(s)
     at = shared_path(s, "footers")
-    write_sink(load(s, d, "orders"), at)
-    return s.createDataFrame([metadata_aggregate(s, at, "o_orderkey")], "n bigint, lo double, hi double")
+    write_sink(load(s, d, "orders"), at, sums=["o_orderkey"])
+    return s.createDataFrame([metadata_aggregate(s, at, "o_orderkey")], "n bigint, lo bigint, hi bigint, total string")
+
+
+@op("src_ingest_sized", "SELECT o_orderkey, 1 AS files FROM orders WHERE o_orderstatus = 'F'")
+def _(s, d):
+    """Many small pieces become files of the size asked for (here all fit one)."""
+    at = shared_path(s, "ingest")
+    n = ingest(load(s, d, "orders").repartition(40), at, max_bytes=1 << 30)
+    return s.read.parquet(at).where("o_orderstatus = 'F'").select("o_orderkey").withColumn("files", lit(n))
+
+
+@op("src_detect_format", """SELECT * FROM (VALUES ('a.csv.gz', 'csv'), ('b.parquet', 'parquet'), ('c?x=1', 'text'), ('d.ndjson', 'ndjson'), ('e.tsv', 'tsv')) t(name, format)""")
+def _(s, d):
+    return s.createDataFrame([(n, detect_format(n).format) for n in ("a.csv.gz", "b.parquet", "c?x=1", "d.ndjson", "e.tsv")], "name string, format string")
+
+
+@op("src_uri_schemes", "SELECT r_regionkey, r_name FROM region")
+def _(s, d):
+    """A scheme of one's own, resolved to where it lives."""
+    at = shared_path(s, "root")
+    write_sink(load(s, d, "region"), f"{at}/tables/region")
+    return read_source(s, resolve("r2://tables/region", {"r2": at}), "parquet").select("r_regionkey", "r_name")
 
 
 # Partition transforms
@@ -190,61 +211,66 @@ def _db(s, d, *tables: str) -> Database:
 def _customers(s, d) -> Database:
     db = _db(s, d, "customer", "nation")
     db.sql("CREATE TABLE cust (id INTEGER PRIMARY KEY, name TEXT NOT NULL, nation INTEGER, bal REAL DEFAULT 0, seg TEXT, CHECK (id >= 0))")
-    db.sql("INSERT INTO cust SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_mktsegment <> 'BUILDING'")
+    db.sql("INSERT INTO cust SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
     return db
 
 
-@op("dml_insert_select", "SELECT c_custkey AS id, c_name AS name, c_acctbal AS bal FROM customer WHERE c_mktsegment <> 'BUILDING'")
+@op("dml_insert_select", "SELECT c_custkey AS id, c_name AS name, c_acctbal AS bal FROM customer")
 def _(s, d):
     return _customers(s, d).sql("SELECT id, name, bal FROM cust")
 
 
-@op("dml_upsert", "SELECT c_custkey AS id, CASE WHEN c_mktsegment = 'BUILDING' THEN 1.0 WHEN c_nationkey > 12 THEN c_acctbal + 1 ELSE c_acctbal END AS bal FROM customer")
+# Of the changed rows a fifth has keys that aren't there yet.
+_KEY = "CASE WHEN c_mktsegment = 'BUILDING' THEN c_custkey + 10000000 ELSE c_custkey END"
+_NEW = "UNION ALL SELECT c_custkey + 10000000, {} FROM customer WHERE c_mktsegment = 'BUILDING'"
+
+
+@op("dml_upsert", "SELECT c_custkey AS id, CASE WHEN c_mktsegment <> 'BUILDING' AND c_nationkey > 12 THEN c_acctbal + 1 ELSE c_acctbal END AS bal FROM customer " + _NEW.format("1.0"))
 def _(s, d):
     db = _customers(s, d)
-    db.sql("INSERT INTO cust (id, name, bal) SELECT c_custkey, c_name, 1.0 FROM customer WHERE TRUE ON CONFLICT (id) DO UPDATE SET bal = bal + excluded.bal WHERE nation > 12")
+    db.sql(f"INSERT INTO cust (id, name, bal) SELECT {_KEY}, c_name, 1.0 FROM customer WHERE TRUE ON CONFLICT (id) DO UPDATE SET bal = bal + excluded.bal WHERE nation > 12")
     return db.sql("SELECT id, bal FROM cust")
 
 
-@op("dml_insert_or_ignore", "SELECT c_custkey AS id, CASE WHEN c_mktsegment = 'BUILDING' THEN 5.0 ELSE c_acctbal END AS bal FROM customer")
+@op("dml_insert_or_ignore", "SELECT c_custkey AS id, c_acctbal AS bal FROM customer " + _NEW.format("5.0"))
 def _(s, d):
     db = _customers(s, d)
-    db.sql("INSERT OR IGNORE INTO cust (id, name, bal) SELECT c_custkey, c_name, 5.0 FROM customer")
+    db.sql(f"INSERT OR IGNORE INTO cust (id, name, bal) SELECT {_KEY}, c_name, 5.0 FROM customer")
     return db.sql("SELECT id, bal FROM cust")
 
 
-@op("dml_replace", "SELECT c_custkey AS id, CASE WHEN c_custkey < 100 THEN 7.0 ELSE c_acctbal END AS bal FROM customer WHERE c_mktsegment <> 'BUILDING' OR c_custkey < 100")
+@op("dml_replace", "SELECT c_custkey AS id, CASE WHEN c_mktsegment <> 'BUILDING' THEN 7.0 ELSE c_acctbal END AS bal FROM customer " + _NEW.format("7.0"))
 def _(s, d):
     db = _customers(s, d)
-    db.sql("REPLACE INTO cust (id, name, bal) SELECT c_custkey, c_name, 7.0 FROM customer WHERE c_custkey < 100")
+    db.sql(f"REPLACE INTO cust (id, name, bal) SELECT {_KEY}, c_name, 7.0 FROM customer")
     return db.sql("SELECT id, bal FROM cust")
 
 
-@op("dml_update_returning", "SELECT c_custkey AS id, c_acctbal * 2 AS bal FROM customer WHERE c_mktsegment <> 'BUILDING' AND c_mktsegment = 'MACHINERY'")
+@op("dml_update_returning", "SELECT c_custkey AS id, c_acctbal * 2 AS bal FROM customer WHERE c_mktsegment = 'MACHINERY'")
 def _(s, d):
     return _customers(s, d).sql("UPDATE cust SET bal = bal * 2 WHERE seg = 'MACHINERY' RETURNING id, bal")
 
 
-@op("dml_update_from", "SELECT c_custkey AS id, n_name AS seg FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment <> 'BUILDING'")
+@op("dml_update_from", "SELECT c_custkey AS id, n_name AS seg FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def _(s, d):
     db = _customers(s, d)
     db.sql("UPDATE cust SET seg = n.n_name FROM nation n WHERE cust.nation = n.n_nationkey")
     return db.sql("SELECT id, seg FROM cust")
 
 
-@op("dml_delete", "SELECT c_custkey AS id FROM customer WHERE c_mktsegment <> 'BUILDING' AND NOT (c_acctbal < 0)")
+@op("dml_delete", "SELECT c_custkey AS id FROM customer WHERE NOT (c_acctbal < 0)")
 def _(s, d):
     db = _customers(s, d)
     db.sql("DELETE FROM cust WHERE bal < 0")
     return db.sql("SELECT id FROM cust")
 
 
-@op("dml_delete_limit_returning", "SELECT c_custkey AS id FROM customer WHERE c_mktsegment <> 'BUILDING' ORDER BY c_acctbal DESC, c_custkey LIMIT 10")
+@op("dml_delete_limit_returning", "SELECT c_custkey AS id FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10")
 def _(s, d):
     return _customers(s, d).sql("DELETE FROM cust WHERE TRUE ORDER BY bal DESC, id LIMIT 10 RETURNING id")
 
 
-@op("ddl_alter", "SELECT c_custkey AS id, c_acctbal AS balance, 'new' AS tag FROM customer WHERE c_mktsegment <> 'BUILDING'")
+@op("ddl_alter", "SELECT c_custkey AS id, c_acctbal AS balance, 'new' AS tag FROM customer")
 def _(s, d):
     db = _customers(s, d)
     db.sql("ALTER TABLE cust RENAME COLUMN bal TO balance")
@@ -253,7 +279,7 @@ def _(s, d):
     return db.sql("SELECT id, balance, tag FROM cust")
 
 
-@op("ddl_transaction_rollback", "SELECT count(*) AS n FROM customer WHERE c_mktsegment <> 'BUILDING'")
+@op("ddl_transaction_rollback", "SELECT count(*) AS n FROM customer")
 def _(s, d):
     db = _customers(s, d)
     db.sql("BEGIN")
@@ -262,14 +288,14 @@ def _(s, d):
     return db.sql("SELECT count(*) AS n FROM cust")
 
 
-@op("time_travel_sql", "SELECT count(*) AS now, (SELECT count(*) FROM customer WHERE c_mktsegment <> 'BUILDING') AS before FROM customer WHERE c_mktsegment <> 'BUILDING' AND c_nationkey <> 3")
+@op("time_travel_sql", "SELECT count(*) AS now, (SELECT count(*) FROM customer) AS before FROM customer WHERE c_nationkey <> 3")
 def _(s, d):
     db = _customers(s, d)
     db.sql("DELETE FROM cust WHERE nation = 3")
     return db.sql("SELECT (SELECT count(*) FROM cust) AS now, (SELECT count(*) FROM cust AS OF VERSION 1) AS before")
 
 
-@op("view_expand", "SELECT seg, count(*) AS n FROM (SELECT c_mktsegment AS seg FROM customer WHERE c_mktsegment <> 'BUILDING' AND c_acctbal > 0) GROUP BY seg")
+@op("view_expand", "SELECT seg, count(*) AS n FROM (SELECT c_mktsegment AS seg FROM customer WHERE c_acctbal > 0) GROUP BY seg")
 def _(s, d):
     db = _customers(s, d)
     db.sql("CREATE VIEW rich AS SELECT * FROM cust WHERE bal > 0")
@@ -296,13 +322,110 @@ def _(s, d):
     return load(s, d, "documents").where("not (rating between 1 and 5)").select("doc_id", "rating")
 
 
-@op("attach_query", "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment <> 'BUILDING' GROUP BY n_name")
+@op("attach_query", "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
 def _(s, d):
     db, other = _customers(s, d), _db(s, d, "nation")
     db.attach("geo", other)
     return db.sql("SELECT n.n_name, count(*) AS n FROM main.cust JOIN geo.nation n ON nation = n.n_nationkey GROUP BY n.n_name")
 
 
+@op("dml_trigger_audit", "SELECT c_custkey AS id, c_acctbal AS old, c_acctbal * 2 AS new FROM customer WHERE c_acctbal > 0")
+def _(s, d):
+    db = _customers(s, d)
+    db.sql("CREATE TABLE log (id INTEGER, old REAL, new REAL)")
+    db.sql("CREATE TRIGGER up AFTER UPDATE OF bal ON cust WHEN NEW.bal > OLD.bal BEGIN INSERT INTO log VALUES (NEW.id, OLD.bal, NEW.bal); END")
+    db.sql("UPDATE cust SET bal = bal * 2")
+    return db.sql("SELECT id, old, new FROM log")
+
+
+@op("dml_trigger_ignore", "SELECT c_custkey AS id FROM customer WHERE c_nationkey < 5")
+def _(s, d):
+    db = _customers(s, d)
+    db.sql("CREATE TRIGGER keep BEFORE DELETE ON cust BEGIN SELECT RAISE(IGNORE) WHERE OLD.nation < 5; END")
+    db.sql("DELETE FROM cust")
+    return db.sql("SELECT id FROM cust")
+
+
+@op("view_instead_of", "SELECT c_custkey AS id, CASE WHEN c_acctbal < 0 THEN 0.0 ELSE c_acctbal END AS bal FROM customer")
+def _(s, d):
+    db = _customers(s, d)
+    db.sql("CREATE VIEW poor AS SELECT id, bal FROM cust WHERE bal < 0")
+    db.sql("CREATE TRIGGER lift INSTEAD OF DELETE ON poor BEGIN UPDATE cust SET bal = 0 WHERE id = OLD.id; END")
+    db.sql("DELETE FROM poor")
+    return db.sql("SELECT id, bal FROM cust")
+
+
+@op("fk_cascade", "SELECT n_nationkey AS id FROM nation WHERE n_regionkey <> 1")
+def _(s, d):
+    db = _db(s, d, "nation", "region")
+    db.sql("CREATE TABLE r (id INTEGER PRIMARY KEY)")
+    db.sql("CREATE TABLE n (id INTEGER PRIMARY KEY, r INTEGER REFERENCES r(id) ON DELETE CASCADE)")
+    db.sql("INSERT INTO r SELECT r_regionkey FROM region")
+    db.sql("INSERT INTO n SELECT n_nationkey, n_regionkey FROM nation")
+    db.sql("DELETE FROM r WHERE id = 1")
+    return db.sql("SELECT id FROM n")
+
+
+@op("view_materialized", "SELECT c_nationkey AS nation, count(*) AS n FROM customer WHERE c_acctbal >= 0 GROUP BY c_nationkey")
+def _(s, d):
+    db = _customers(s, d)
+    db.sql("CREATE MATERIALIZED VIEW per AS SELECT nation, count(*) AS n FROM cust GROUP BY nation")
+    db.sql("DELETE FROM cust WHERE bal < 0")
+    db.sql("REFRESH MATERIALIZED VIEW per")
+    return db.sql("SELECT nation, n FROM per")
+
+
+@op("ddl_transaction_isolation", "SELECT count(*) AS n, count(*) FILTER (WHERE c_acctbal >= 0) AS inside, count(*) FILTER (WHERE c_acctbal >= 0) AS later FROM customer")
+def _(s, d):
+    """What another session counts during a transaction, what the transaction counts, and what the other counts after COMMIT."""
+    db = _customers(s, d)
+    other, count = Database(s, db.path), lambda x: x.sql("SELECT count(*) FROM cust").first()[0]
+    db.sql("BEGIN")
+    db.sql("DELETE FROM cust WHERE bal < 0")
+    seen = [count(other), count(db)]
+    db.sql("COMMIT")
+    return s.createDataFrame([(*seen, count(other))], "n bigint, inside bigint, later bigint")
+
+
+@op("db_reopened", "SELECT c_custkey AS id FROM customer WHERE c_acctbal < 0")
+def _(s, d):
+    """Tables and views are found by the next database on the path."""
+    db = _customers(s, d)
+    db.sql("CREATE VIEW poor AS SELECT id FROM cust WHERE bal < 0")
+    return Database(s, db.path).sql("SELECT id FROM poor")
+
+
+@op("db_read_only", "SELECT count(*) AS n, 1 AS refused FROM customer")
+def _(s, d):
+    db = Database(s, _customers(s, d).path, read_only=True)
+    try:
+        db.sql("DELETE FROM cust")
+        refused = 0
+    except PermissionError:
+        refused = 1
+    return db.sql("SELECT count(*) AS n FROM cust").withColumn("refused", lit(refused))
+
+
+@op("explain_formats", "SELECT * FROM (VALUES ('ANALYZE FORMAT TREE'), ('FORMAT JSON'), ('FORMAT YAML'), ('QUERY PLAN')) t(how)")
+def _(s, d):
+    """The formats of EXPLAIN that name the scan."""
+    db = _customers(s, d)
+    told = {h: "\n".join(r["detail"] for r in db.sql(f"EXPLAIN {h} SELECT seg, count(*) FROM cust GROUP BY seg").collect()) for h in ("QUERY PLAN", "FORMAT JSON", "FORMAT YAML", "ANALYZE FORMAT TREE")}
+    return s.createDataFrame([(h,) for h, t in told.items() if "parquet" in t.lower()], "how string")
+
+
+@op("trigger_builders", "SELECT c_custkey AS id, upper(c_name) AS name, c_acctbal * 2 AS twice FROM customer WHERE c_acctbal >= 0")
+def _(s, d):
+    from ..plans import triggers as tr
+
+    db = _db(s, d, "customer")
+    db.sql("CREATE TABLE c (id INTEGER PRIMARY KEY, name TEXT, bal REAL, twice REAL)")
+    for i, f in enumerate((tr.validate("bal >= 0", "in debt"), tr.transform(name=F.upper("name")), tr.computed("twice", "bal * 2"))):
+        db.trigger(f"t{i}", "before", "insert", "c", f)
+    db.sql("INSERT INTO c (id, name, bal) SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal >= 0")
+    return db.sql("SELECT id, name, twice FROM c")
+
+
 # Functions of one's own
 
 
@@ -334,7 +457,7 @@ def _(s, d):
     return s.sql("SELECT n_nationkey, t.i FROM mr_nation, LATERAL upto(n_regionkey) t")
 
 
-@op("procedure_call", "SELECT c_custkey FROM customer WHERE c_nationkey = 5 AND c_mktsegment <> 'BUILDING'")
+@op("procedure_call", "SELECT c_custkey FROM customer WHERE c_nationkey = 5")
 def _(s, d):
     db = _customers(s, d)
     db.procedure("of_nation", lambda base, n: base.sql("SELECT id AS c_custkey FROM cust WHERE nation = ?", [n]))
@@ -426,6 +549,67 @@ def _(s, d):
     return s.read.parquet(out).agg(F.count("*").alias("n"))
 
 
+@op("cdc_slots", "SELECT delivery_id FROM cdc_events WHERE delivery_id > 100 AND table_name LIKE '%orders'")
+def _(s, d):
+    """What a slot that was acknowledged up to 100 still has to read."""
+    slots = cl.Slots(s, shared_path(s, "slots"))
+    slots.create("mine", where="table_name like '%orders'")
+    slots.acknowledge("mine", 100)
+    slots.acknowledge("mine", 50)
+    return slots.read("mine", load(s, d, "cdc_events").select("delivery_id", c("delivery_id").alias("lsn"), "table_name")).select("delivery_id")
+
+
+@op("cdc_decode", f"SELECT delivery_id, {_OP} AS operation, json_extract_string(after_json, '$.id') AS id FROM cdc_events")
+def _(s, d):
+    return cl.decode(load(s, d, "cdc_events"), "id string").select("delivery_id", "operation", c("data.id").alias("id"))
+
+
+@op("cdc_hlc_order", "SELECT delivery_id FROM cdc_events ORDER BY arrived_at, delivery_id % 7, source_do_id, delivery_id LIMIT 50")
+def _(s, d):
+    hlc = F.struct(F.unix_micros(c("arrived_at").cast("timestamp")).alias("physicalTime"), (c("delivery_id") % 7).cast("int").alias("logicalCounter"), c("source_do_id").alias("nodeId"))
+    return cl.by_hlc(load(s, d, "cdc_events").select("delivery_id", c("delivery_id").alias("lsn"), lit("INSERT").alias("op"), hlc.alias("hlc"))).limit(50).select("delivery_id")
+
+
+@op("cdc_webhooks", "SELECT event_id, 'pay.' || event_type AS table_name, CAST(event_id AS VARCHAR) AS row_id FROM events")
+def _(s, d):
+    from ..streaming.normalise import webhook_changes
+
+    body = F.to_json(F.struct(F.concat("event_type", lit(".created")).alias("type"), F.struct(c("event_id").cast("string").alias("id")).alias("data")))
+    return webhook_changes(load(s, d, "events").select("event_id", body.alias("body")), "body", "pay").select("event_id", "table_name", c("_cdc_row_id").alias("row_id"))
+
+
+# Shards
+
+
+@op("shard_fnv_bucket", """SELECT o_orderkey, CAST(list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(CAST(o_orderkey AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda h, b: (xor(h, b) * 16777619) % 4294967296) % 16 AS INTEGER) AS shard FROM orders""")
+def _(s, d):
+    return load(s, d, "orders").select("o_orderkey", FnvIndex(16).shard(c("o_orderkey")).alias("shard"))
+
+
+_WHERE = "o_orderkey IN (7, 33, 5.0) AND o_orderpriority <> 'o_orderkey = 1' OR o_custkey < 5"
+for _n, _index in (("hash", HashIndex(8)), ("ring", RingIndex(["a", "b", "c"])), ("range", RangeIndex([100, 5000])), ("list", ListIndex([[7, 33], [5]]))):
+    for _k, _w in (("point", "o_orderpriority <> 'o_orderkey = 9' AND o_orderkey = 7"), ("few", "o_orderkey IN (7, 33, 5.0) AND o_custkey > 3"), ("all", _WHERE)):
+
+        @op(f"shard_{_n}_{_k}", f"SELECT o_orderkey, o_custkey FROM orders WHERE {_w}")
+        def _(s, d, index=_index, w=_w):
+            ship(s)
+            at = shared_path(s, "shards")
+            pt.write_partitioned(load(s, d, "orders").withColumn("shard", index.shard(c("o_orderkey"))), at, ["shard"])
+            return routed(s.read.parquet(at), index, w, "o_orderkey").select("o_orderkey", "o_custkey")
+
+
+@op("branch_history", "SELECT * FROM (VALUES (0, 'create', 3), (1, 'append', 2), (2, 'overwrite', 1), (2, 'append', 1), (3, 'merge', 0)) t(sequence_number, operation, depth)")
+def _(s, d):
+    cust = load(s, d, "customer").select("c_custkey", "c_acctbal")
+    t = LakeTable.create(s, shared_path(s, "lake"), cust.schema)
+    t.append(cust)
+    t.branch("dev")
+    t.overwrite(cust.withColumn("c_acctbal", c("c_acctbal") + 1))
+    t.append(cust.select((-c("c_custkey")).alias("c_custkey"), "c_acctbal"), branch="dev")
+    t.merge("dev", ["c_custkey"])
+    return t.history().select("sequence_number", "operation", "depth")
+
+
 # Text search: words by letters and digits, in lower case
 
 _W = r"list_transform(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda x: x)"

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..operators.relational import (
-    as_of_join, excluding, group_concat, groups_frame, json_group_array, json_group_object, merge_sorted, recursive_distinct, reference_join, top_n, total, version_diff,
+    as_of_join, excluding, group_concat, groups_frame, json_group_array, json_group_object, merge_sorted, numbered, recursive_distinct, reference_join, top_n, total, version_diff,
 )
+from ..operators.sharding import bucketed_join
 from ..plans.dialect import bind, translate
 from ..session import load, register_views
 
@@ -127,6 +128,22 @@ def _(s, d):
     return version_diff(old, new.withColumn("v", F.expr("if(v < 0, v + 1, v)")), ["k"])
 
 
+_NULLS = "SELECT c_custkey AS k, CASE WHEN c_nationkey % 2 = 0 THEN c_nationkey END AS x, CASE WHEN c_nationkey % 2 = 1 THEN c_nationkey END AS y FROM customer"
+
+
+@op("version_diff_nulls", "SELECT c_custkey AS k, 'UPDATE' AS _change_type FROM customer")
+def _(s, d):
+    """Values that move to a column beside them, which was null, are updates."""
+    old = run(s, d, _NULLS)
+    return version_diff(old, old.select("k", F.col("y").alias("x"), F.col("x").alias("y")), ["k"]).select("k", "_change_type")
+
+
+@op("join_bucketed", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
+def _(s, d):
+    orders, customers = load(s, d, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey"), load(s, d, "customer").select(F.col("c_custkey").alias("k"), "c_name")
+    return bucketed_join(orders, customers, ["k"], 8).select("o_orderkey", "c_name")
+
+
 @op("merge_hot_cold", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN c_acctbal + 5 ELSE c_acctbal END AS bal FROM customer")
 def _(s, d):
     c = load(s, d, "customer").select("c_custkey", F.col("c_acctbal").alias("bal"))
@@ -202,7 +219,16 @@ both("win_default_frame", "SELECT p_partkey, sum(p_size) OVER (PARTITION BY p_br
      "SELECT p_partkey, CAST(sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_size) AS BIGINT) AS running, CAST(sum(p_size) OVER (PARTITION BY p_brand) AS BIGINT) AS whole FROM part")
 both("win_filter", "SELECT o_orderkey, count(*) FILTER (WHERE o_orderstatus = 'F') OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS f FROM orders")
 both("win_named", "SELECT o_orderkey, sum(o_totalprice) OVER w AS s, count(*) OVER w AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS 2 PRECEDING)")
-both("win_multi_spec", "SELECT c_custkey, rank() OVER (ORDER BY c_acctbal DESC, c_custkey) AS a, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey DESC) AS b, max(c_acctbal) OVER (PARTITION BY c_mktsegment) AS m FROM customer")
+
+
+@op("win_multi_spec", "SELECT c_custkey, rank() OVER (ORDER BY c_acctbal DESC, c_custkey) AS a, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey DESC) AS b, max(c_acctbal) OVER (PARTITION BY c_mktsegment) AS m FROM customer")
+def _(s, d):
+    """An order over all rows is numbered by ranges; no window is without a partition."""
+    rows = numbered(load(s, d, "customer"), [F.desc("c_acctbal"), F.asc("c_custkey")], "a")
+    b, m = F.row_number().over(W.partitionBy("c_nationkey").orderBy(F.desc("c_custkey"))), F.max("c_acctbal").over(W.partitionBy("c_mktsegment"))
+    return rows.select("c_custkey", "a", b.alias("b"), m.alias("m"))
+
+
 both("win_nulls_last", "SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY lang NULLS LAST, doc_id) AS rn FROM documents")
 
 
@@ -221,11 +247,13 @@ for _name, _kind in (("win_exclude_group", "group"), ("win_exclude_ties", "ties"
 
 # Sort and top-k: the place in the order is a column, as results are compared without order.
 both("topk_offset", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5")
-both("sort_nulls_first", "SELECT doc_id, row_number() OVER (ORDER BY lang ASC NULLS FIRST, doc_id) AS at FROM documents")
-both("sort_nulls_last", "SELECT doc_id, row_number() OVER (ORDER BY lang DESC NULLS LAST, doc_id) AS at FROM documents")
+for _name, _by, _order in (
+    ("sort_nulls_first", "ASC NULLS FIRST", lambda: F.asc_nulls_first("lang")), ("sort_nulls_last", "DESC NULLS LAST", lambda: F.desc_nulls_last("lang")),
+):
+    op(_name, f"SELECT doc_id, row_number() OVER (ORDER BY lang {_by}, doc_id) AS at FROM documents")(lambda s, d, o=_order: numbered(load(s, d, "documents").select("doc_id", "lang"), [o(), F.asc("doc_id")], "at").drop("lang"))
 both("sort_expr", "SELECT c_custkey FROM customer ORDER BY CASE WHEN c_acctbal < 0 THEN 0 ELSE 1 END, abs(c_acctbal) DESC, c_custkey LIMIT 20")
 both("sort_ordinal", "SELECT c_custkey, c_acctbal FROM customer ORDER BY 2 DESC NULLS LAST, 1 LIMIT 15")
-both("sort_nocase", "SELECT p_partkey, row_number() OVER (ORDER BY p_name COLLATE UTF8_LCASE, p_partkey) AS at FROM part", "SELECT p_partkey, row_number() OVER (ORDER BY lower(p_name), p_partkey) AS at FROM part")
+op("sort_nocase", "SELECT p_partkey, row_number() OVER (ORDER BY lower(p_name), p_partkey) AS at FROM part")(lambda s, d: numbered(load(s, d, "part").select("p_partkey", F.collate("p_name", "UTF8_LCASE").alias("k")), [F.asc("k"), F.asc("p_partkey")], "at").drop("k"))
 both("sort_by_subquery", "SELECT n_name FROM (SELECT n_name, (SELECT count(*) FROM customer c WHERE c.c_nationkey = n.n_nationkey) AS k FROM nation n) ORDER BY k DESC, n_name LIMIT 5")
 
 

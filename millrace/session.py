@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import io
 import tempfile
 import uuid
 import zipfile
@@ -46,14 +46,16 @@ def register_views(spark: SparkSession, sf_dir: str, names: tuple[str, ...] | li
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    It's what the cluster names in spark.checkpoint.dir. Only where that is unset (tests, one machine) a folder of our own is made and
-    set, once for each session.
+    It's what the cluster names in spark.checkpoint.dir. Only where that is unset and all runs on one machine (tests) a folder of our own is made
+    and set, once for each session. RuntimeError on a cluster that names none: a folder of one machine would be lost with it.
     """
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if at:
         return at
     now = spark.sparkContext.getCheckpointDir()
     if not now:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
         now = spark.sparkContext.getCheckpointDir()
     return now
@@ -75,12 +77,19 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if getattr(sc, "_millrace_shipped", False):
         return
-    at, here = shared_dir(spark), Path(__file__).resolve().parent
-    folder = at.removeprefix("file:") if at.startswith(("file:", "/")) else tempfile.mkdtemp(prefix="millrace-")
-    os.makedirs(folder, exist_ok=True)
-    name = f"{folder.rstrip('/')}/millrace-{uuid.uuid4().hex}.zip"
-    with zipfile.ZipFile(name, "w") as z:
+    here, name, packed = Path(__file__).resolve().parent, f"{shared_path(spark, 'code')}/millrace.zip", io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for p in sorted(here.rglob("*.py")):
             z.write(p, str(Path("millrace") / p.relative_to(here)))
+    store(spark, name, [packed.getvalue()])
     sc.addPyFile(name)
     sc._millrace_shipped = True
+
+
+def store(spark: SparkSession, path: str, chunks) -> None:
+    """Bytes as a file, wherever path is."""
+    P = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    out = P(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(P(path), True)
+    for c in chunks:
+        out.write(bytearray(c))
+    out.close()

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import os
-import tempfile
 import urllib.request
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_path
+from ..session import shared_path, store
+
+SUMS = "_mr_sums.json"
 
 # File name endings and content types of the formats.
 ENDINGS = {".json": "json", ".ndjson": "ndjson", ".jsonl": "ndjson", ".csv": "csv", ".tsv": "tsv", ".parquet": "parquet", ".pq": "parquet", ".txt": "text", ".orc": "orc"}
@@ -62,15 +65,10 @@ def resolve(uri: str, roots: dict[str, str] | None = None) -> str:
 def _fetched(spark: SparkSession, url: str, method: str = "GET", headers: dict | None = None, timeout: float = 30.0, body: bytes | None = None) -> tuple[str, str | None]:
     """A URL's content as a file in the shared folder, and its content type."""
     req = urllib.request.Request(url, data=body, method=method, headers=headers or {})
-    with urllib.request.urlopen(req, timeout=timeout) as got, tempfile.NamedTemporaryFile(delete=False, suffix=os.path.basename(url.split("?")[0]) or ".dat") as f:
-        f.write(got.read())
-        kind = got.headers.get("content-type")
-    from ..lake.compaction import _fs
-
-    out = f"{shared_path(spark, 'fetched')}/{os.path.basename(f.name)}"
-    fs, at = _fs(spark, out)
-    fs.copyFromLocalFile(True, True, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"file://{f.name}"), at)
-    return out, kind
+    out = f"{shared_path(spark, 'fetched')}/{os.path.basename(url.split('?')[0]) or 'fetched.dat'}"
+    with urllib.request.urlopen(req, timeout=timeout) as got:
+        store(spark, out, iter(lambda: got.read(1 << 22), b""))
+        return out, got.headers.get("content-type")
 
 
 def read_source(spark: SparkSession, path: str, fmt: str | None = None, schema: str | None = None, **options) -> DataFrame:
@@ -113,8 +111,18 @@ def stream_source(spark: SparkSession, path: str, fmt: str, schema: str, **optio
     return r.format({"ndjson": "json", "tsv": "csv"}.get(fmt, fmt)).load(path)
 
 
-def write_sink(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None, rows_per_file: int = 100_000, bloom: list[str] | None = None, compression: str = "snappy") -> None:
-    """A folder of files. bloom: columns that get a bloom filter, for point lookups."""
+def write_sink(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None, rows_per_file: int = 0, bloom: list[str] | None = None, compression: str = "snappy", even: bool = False, sums: list[str] | None = None) -> None:
+    """A folder of files.
+
+    bloom: columns that get a bloom filter, for point lookups. even: shuffle rows first so that files have about the bytes that adaptive execution
+    aims at (spark.sql.adaptive.advisoryPartitionSizeInBytes), which mends both tiny and huge files. rows_per_file caps them, if not 0. sums: numeric
+    columns whose sums are noted beside the files, as they are written, for metadata_aggregate().
+    """
+    seen = Observation(f"sums-{uuid.uuid4().hex}") if sums else None
+    if even:
+        df = df.hint("rebalance", *partition_by) if partition_by else df.hint("rebalance")
+    if seen is not None:
+        df = df.observe(seen, *[F.sum(c).cast("string").alias(c) for c in sums])
     w = df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file)
     for c in bloom or []:
         w = w.option(f"parquet.bloom.filter.enabled#{c}", "true")
@@ -125,36 +133,46 @@ def write_sink(df: DataFrame, path: str, fmt: str = "parquet", partition_by: lis
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.format({"ndjson": "json", "tsv": "csv"}.get(fmt, fmt)).save(path)
+    if seen is not None:
+        store(df.sparkSession, f"{path}/{SUMS}", [json.dumps(seen.get).encode()])
+
 
+def metadata_aggregate(spark: SparkSession, path: str, column: str) -> tuple[int, object, object, str | None]:
+    """(rows, least, greatest, sum) of a column of Parquet files, from footers alone: Spark's scan answers them from statistics, wherever the files are.
 
-def metadata_aggregate(spark: SparkSession, path: str, column: str) -> tuple[int, object, object]:
-    """(rows, least, greatest) of a column from Parquet footers, without reading its pages; partial sums are exchanged between tasks that read only footers."""
-    import pyarrow.parquet as pq
-
-    from ..lake.compaction import _fs
-
-    fs, at = _fs(spark, path)
-    it, names = fs.listFiles(at, True), []
-    while it.hasNext():
-        p = str(it.next().getPath())
-        if p.endswith(".parquet"):
-            names.append(p)
-    if not names:
-        return 0, None, None
-
-    def footers(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            out = []
-            for n in b.column(0).to_pylist():
-                m = pq.ParquetFile(n.removeprefix("file:")).metadata
-                i = m.schema.names.index(column)
-                for g in range(m.num_row_groups):
-                    st = m.row_group(g).column(i).statistics
-                    out.append((m.row_group(g).num_rows, float(st.min) if st and st.has_min_max else None, float(st.max) if st and st.has_min_max else None))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in ((0, pa.int64()), (1, pa.float64()), (2, pa.float64()))], names=["n", "lo", "hi"])
-
-    rows = spark.createDataFrame([(n,) for n in names], "name string").repartition(min(len(names), 64)).mapInArrow(footers, "n bigint, lo double, hi double")
-    r = rows.agg(F.sum("n"), F.min("lo"), F.max("hi")).first()
-    return r[0], r[1], r[2]
+    The sum, as text, is what write_sink(sums=...) noted; None if it noted none. Columns whose files lack statistics (or whose kind has none that can be
+    trusted, such as text) are read. An empty folder gives no rows and nulls.
+    """
+    keys = {"spark.sql.sources.useV1SourceList": "avro,csv,json,kafka,orc,text", "spark.sql.parquet.aggregatePushdown": "true"}
+    was = {k: spark.conf.get(k) for k in keys}
+    ask = [F.count("*"), F.min(column), F.max(column)]
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        try:
+            n, lo, hi = spark.read.parquet(path).agg(*ask).first()
+        except Exception:
+            spark.conf.set("spark.sql.parquet.aggregatePushdown", "false")
+            n, lo, hi = spark.read.parquet(path).agg(*ask).first()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    from ..lake import files
+
+    fs, at = files.fs_of(spark, f"{path}/{SUMS}")
+    return n, lo, hi, files.get(spark, f"{path}/{SUMS}").get(column) if fs.exists(at) else None
+
+
+def ingest(source: DataFrame, path: str, rows: int = 0, max_bytes: int = 128 * 1024 * 1024) -> int:
+    """Write rows in files of about max_bytes (and at most rows, if not 0), by the session's adaptive shuffle; the number of files."""
+    spark = source.sparkSession
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(max_bytes))
+    try:
+        write_sink(source, path, rows_per_file=rows, even=True)
+    finally:
+        spark.conf.set(key, was)
+    from ..lake.compaction import directory_files
+
+    return directory_files(spark, path)[0]
