@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..lake import partitioning as pt
-from ..lake.tables import LakeTable
+from ..lake.catalog import Catalog
+from ..lake.tables import Conflict, LakeTable
+from ..operators.hnsw import HnswIndex
 from ..operators.search import IvfIndex, bm25, highlight, knn, knn_join, match, postings, snippet, tfidf
 from ..operators.relational import three_way_merge
 from ..operators.sharding import FnvIndex, HashIndex, ListIndex, RangeIndex, RingIndex, routed
+from ..operators.textindex import TextIndex
 from ..plans.database import Database, orphans
 from ..session import load, shared_path, ship
 from ..sources.readers import detect_format, ingest, metadata_aggregate, read_source, resolve, write_sink
@@ -148,6 +151,24 @@ def _(s, d):
     return t.between(at[2], at[3]).groupBy("_version").agg(F.count("*").alias("n"))
 
 
+@op("catalog_commit", "SELECT c_custkey, c_acctbal, 'lake.raw.cust' AS t FROM customer")
+def _(s, d):
+    """Namespaces, a table, a commit that holds its requirements and one that doesn't, found again by another catalog."""
+    cust, at = load(s, d, "customer").select("c_custkey", "c_acctbal"), shared_path(s, "catalog")
+    cat = Catalog(s, at)
+    cat.create_namespace("lake", owner="me")
+    cat.create_namespace("lake.raw")
+    first = cat.create_table("lake.raw.cust", cust.schema).head()["id"]
+    want = [{"type": "assert-ref-snapshot-id", "ref": "main", "snapshot-id": first}]
+    cat.commit("lake.raw.cust", want, [{"action": "append", "rows": cust}, {"action": "set-properties", "updates": {"a": "b"}}])
+    try:
+        cat.commit("lake.raw.cust", want, [{"action": "append", "rows": cust}])
+    except Conflict:
+        pass
+    again = Catalog(s, at)
+    return again.load(again.tables("lake.raw")[0]).read().withColumn("t", lit(again.tables("lake.raw")[0]))
+
+
 @op("version_diff", "SELECT c_custkey, CASE WHEN c_acctbal >= 9000 THEN 'DELETE' ELSE 'UPDATE' END AS _change_type FROM customer WHERE c_acctbal >= 9000 OR c_acctbal < 500")
 def _(s, d):
     return _versions(s, d).diff(2, 4, ["c_custkey"]).select("c_custkey", "_change_type")
@@ -637,6 +658,14 @@ op("fts_tfidf", f"WITH f AS (SELECT doc_id, len(w) AS n, {_TF('screen')} AS a FR
 op("fts_highlight", r"SELECT doc_id, regexp_replace(text, '(?i)\b(screen|manual)\b', '<b>\1</b>', 'g') AS h FROM documents")(lambda s, d: load(s, d, "documents").select("doc_id", highlight(c("text"), "screen manual").alias("h")))
 op("fts_snippet")(lambda s, d: match(load(s, d, "documents"), "screen", ["text"]).select("doc_id", snippet(c("text"), "screen").alias("snippet")))
 
+def _index(s, d) -> TextIndex:
+    return TextIndex.build(load(s, d, "documents"), "doc_id", ["text"], shared_path(s, "text-index"))
+
+
+for _n, _of, _q2 in (("term", "fts_term", "kettle"), ("phrase", "fts_phrase", '"after two days"'), ("prefix", "fts_prefix", "kett*"), ("boolean", "fts_boolean", "broke NOT battery OR screen AND manual"), ("near", "fts_near", "NEAR(price surprisingly, 5)")):
+    op(f"fts_index_{_n}", SQL[_of])(lambda s, d, q=_q2: _index(s, d).match(q))
+op("fts_index_bm25", SQL["fts_bm25"])(lambda s, d: _index(s, d).bm25("screen OR manual").withColumn("score", F.round("score", 6)))
+
 # Vector search
 
 _D = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
@@ -660,11 +689,26 @@ def _(s, d):
     return knn_join(v.where("vec_id % 100 = 0"), v, 5).select("query_id", "vec_id", "rank")
 
 
-@op("vec_ivf_recall")
-def _(s, d):
-    """The share of true neighbours that the approximate index finds, over all queries."""
+def _recall(s, d, search):
+    """The share of true neighbours that an approximate index finds, over all queries."""
     ship(s)
     v = load(s, d, "embeddings")
     q = v.where("vec_id % 100 = 0")
-    true, got = knn_join(q, v, 10).select("query_id", "vec_id"), IvfIndex(v).search(q, 10, probes=12).select("query_id", "vec_id", lit(1).alias("hit"))
+    true, got = knn_join(q, v, 10).select("query_id", "vec_id"), search(v, q).select("query_id", "vec_id", lit(1).alias("hit"))
     return true.join(got, ["query_id", "vec_id"], "left").agg(F.round(F.avg(F.coalesce("hit", lit(0))), 4).alias("recall"))
+
+
+@op("vec_ivf_recall")
+def _(s, d):
+    return _recall(s, d, lambda v, q: IvfIndex(v).search(q, 10))
+
+
+def _hnsw(s, v) -> HnswIndex:
+    dim = len(v.where("embedding is not null").select("embedding").first()[0])
+    return HnswIndex.build(v, shared_path(s, "graphs"), dim)
+
+
+@op("vec_hnsw_recall", "SELECT TRUE AS found_nine_in_ten")
+def _(s, d):
+    r = _recall(s, d, lambda v, q: _hnsw(s, v).search(q, 10))
+    return r.select((c("recall") >= 0.9).alias("found_nine_in_ten"))

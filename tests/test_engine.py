@@ -322,6 +322,61 @@ def test_search(spark):
     assert s == "...Fox brown"
 
 
+def test_text_index(spark, tmp_path):
+    from millrace.operators.search import bm25
+    from millrace.operators.textindex import TextIndex
+
+    d = spark.createDataFrame([(1, "The quick brown fox", "a b"), (2, "quick, very quick Fox brown", "fox"), (3, None, None), (4, "", "quick fox"), (5, "fox the quick", None)], "id int, text string, title string")
+    ix = TextIndex.build(d, "id", ["text", "title"], str(tmp_path / "ix"))
+    for q in ("quick fox", '"brown fox"', '"quick brown fox"', "qui* NOT the", "NEAR(quick brown, 1)", "zebra OR very", "title:fox", "text:fox AND (the OR none)", '"quick quick"', "zebra"):
+        assert sorted(one(ix.match(q))) == sorted(one(match(d, q, ["text", "title"]).select("id"))), q
+        if "*" not in q:
+            rounded = lambda df: sorted((a, round(b, 9)) for a, b in one(df))
+            assert rounded(ix.bm25(q, {"title": 2.0})) == rounded(bm25(d, "id", ["text", "title"], q, {"title": 2.0})), q
+    assert one(TextIndex.build(d.limit(0), "id", ["text"], str(tmp_path / "no")).match("fox")) == []
+
+
+def test_hnsw(spark, tmp_path):
+    import numpy as np
+
+    from millrace.operators.hnsw import Graph, HnswIndex
+
+    x = np.random.default_rng(0).normal(size=(600, 8))
+    g = Graph(8, "l2")
+    g.extend(range(600), x)
+    true = lambda q, n: np.argsort(((x - q) ** 2).sum(1))[:n].tolist()
+    hit = sum(len({k for _, k in g.search(q, 10)} & set(true(q, 10))) for q in x[:50]) / 500
+    assert hit > 0.95
+    h = Graph.from_bytes(g.to_bytes())
+    h.delete(7)
+    assert g.search(x[7], 1)[0][1] == 7 and 7 not in [k for _, k in h.search(x[7], 5)] and Graph.from_bytes(Graph(3).to_bytes()).search([1, 0, 0], 2) == []
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)] + [(900, None), (901, [1.0])], "vec_id bigint, embedding array<double>")
+    ix = HnswIndex.build(df, str(tmp_path / "g"), 8, metric="l2", rows=200)
+    got = one(ix.search(df.where("vec_id < 20 or vec_id > 890"), 5).select("query_id", "vec_id"))
+    assert len(got) == 100 and sum(b in true(x[a], 5) for a, b in got) > 95
+    assert HnswIndex.build(df.limit(0), str(tmp_path / "e"), 8).search(df, 3).count() == 0
+
+
+def test_catalog(spark):
+    from millrace.lake.catalog import Catalog, CommitFailed
+
+    c = Catalog(spark, shared_path(spark, "cat"))
+    c.create_namespace("a", owner="x")
+    c.create_namespace("a.b")
+    t = c.create_table("a.b.t", "k int")
+    assert c.namespaces() == ["a"] and c.namespaces("a") == ["a.b"] and c.tables("a.b") == ["a.b.t"] and c.properties("a", set={"z": 1}, remove=["owner"]) == {"z": 1}
+    with pytest.raises(CommitFailed):
+        c.commit("a.b.t", [{"type": "assert-ref-snapshot-id", "snapshot-id": None}], [])
+    head = c.commit("a.b.t", [{"type": "assert-current-schema-id", "current-schema-id": 0}], [{"action": "append", "rows": spark.range(3).selectExpr("id k")}, {"action": "set-snapshot-ref", "ref-name": "old", "snapshot-id": t.head()["id"]}])
+    assert head["lsn"] == 1 and c.load("a.b.t").read().count() == 3 and c.load("a.b.t").read("old").count() == 0
+    c.rename("a.b.t", "a.u")
+    with pytest.raises(ValueError):
+        c.drop_namespace("a")
+    c.drop("a.u", purge=True)
+    c.drop_namespace("a.b")
+    assert not c.exists("a.u") and c.namespaces("a") == []
+
+
 def test_windows(spark):
     d = spark.createDataFrame([("a", 1, 1), ("a", 1, 2), ("a", 2, None), ("b", 5, 4)], "p string, o int, v int")
     got = rel.excluding(d, ["p"], [F.col("o"), F.col("v")], (-5, 5), "current row", "v", "x").select("p", "o", "v", "x_sum", "x_count").collect()
@@ -362,6 +417,11 @@ def test_sharding(spark):
         for w in ("k = 77", "k IN (1, 500, 999)", "k BETWEEN 50 AND 120", "k > 400 AND k < 600", "k = 1 OR k = 2"):
             assert sorted(one(routed(sharded, ix, w, "k").select("k"))) == sorted(one(d.where(w)))
     assert len(route(spark, h, "k = 5", "k")) == 1 and route(spark, r, "k BETWEEN 50 AND 120", "k") == [0, 1] and route(spark, h, "k > 3", "k") is None
+    # Text in literals tells nothing; literals of another kind are left to Spark.
+    t = d.withColumn("note", F.lit("k = 7")).withColumn("shard", h.shard(F.col("k")))
+    for w in ("note = 'k = 7' AND k > 3", "k = 5.0", "k = 5.5", "k = '5'", "(k = 5 OR k = 900) AND k > 10", "NOT k = 5", "k IN (5, 6.5)"):
+        assert sorted(one(routed(t, h, w, "k").select("k"))) == sorted(one(t.where(w).select("k"))), w
+    assert rel.numbered(d.limit(0), [F.asc("k")]).count() == 0 and [tuple(x) for x in rel.numbered(d, [F.desc("k")], "n").where("k > 997").orderBy("n").collect()] == [(999, 1), (998, 2)]
     moved = sum(g.of(i) != RingIndex(["a", "b", "c", "d"]).of(i) for i in range(1000))
     assert moved < 400
 
