@@ -37,8 +37,8 @@ def test_words():
     assert words("") == words("<br/>!?") == [] and words("a < b > c") == ["a", "b", "c"] and words("Straße STRASSE") == ["strasse", "strasse"]
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_scan_is_brute_force(seed):
+def _texts(seed):
+    """(documents, items) of few words, with edits around what is allowed."""
     r = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(60)]
     items = [(i, " ".join(r.choices(vocabulary, k=r.choice([0, 1, 3, 5, 6, 7, 8, 9, 11, 12, 15, 16, 17, 24, 31, 40, 64])))) for i in range(40)]
@@ -55,7 +55,12 @@ def test_scan_is_brute_force(seed):
         else:
             p = p[r.randrange(0, 3) :][: r.randrange(9, 15)]
         docs.append((d, " ".join(noise() + p + noise())))
-    docs += [(900, ""), (901, "w1 " * 3000)]
+    return docs + [(900, ""), (901, "w1 " * 3000)], items
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_scan_is_brute_force(seed):
+    docs, items = _texts(seed)
     index = build_index(items)
     assert set(scan(index, [d for d, _ in docs], [t for _, t in docs])) == brute(docs, items)
 
@@ -71,6 +76,12 @@ def test_leaked(spark):
     d = spark.createDataFrame([(k, t, 1) for k, t in docs], "doc_id bigint, text string, eval_id int")
     e = spark.createDataFrame([(k, p, "t") for k, p in items], "eval_id bigint, passage string, text string")
     want = sorted([(1, 10), (4, 11), (5, 11), (6, 11), (None, 10)], key=repr)
-    for block in (5, 200_000):  # in many blocks, or in one
-        assert sorted(map(tuple, leaked(d, e, block).collect()), key=repr) == want
-    assert leaked(d.limit(0), e).count() == 0 and leaked(d, e.limit(0)).count() == 0
+    for most in (5, 200_000):  # joined by seeds, or sent to all tasks
+        assert sorted(map(tuple, leaked(d, e, most, bits=20).collect()), key=repr) == want
+    assert leaked(d.limit(0), e).count() == 0 and leaked(d, e.limit(0)).count() == 0 and leaked(d.limit(0), e, 5, 20).count() == 0
+
+
+def test_join_is_brute_force(spark):
+    docs, items = _texts(11)
+    d, e = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "eval_id bigint, passage string")
+    assert set(map(tuple, leaked(d, e, 100, bits=21).collect())) == brute(docs, items)
