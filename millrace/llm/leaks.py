@@ -36,6 +36,7 @@ CHUNK = 19  # it is made in parts of 2**CHUNK bits
 # Positions kept, by mask.
 MASKS = tuple(tuple(i + (i >= gap) for i in range(KEPT)) for gap in (KEPT, 1, 2, 3, 4, 5))
 _P = np.uint64(0x9E3779B97F4A7C15)
+_MARKS = np.uint64((1 << 20) - 1)
 
 
 def _seeds(ids: np.ndarray, mask: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -65,6 +66,7 @@ class SeedIndex:
     hashes: np.ndarray
     owner: np.ndarray
     place: np.ndarray
+    marks: np.ndarray  # by the lowest bits of a hash, whether there may be such a seed: most windows of a corpus end here
 
 
 def build_index(items: list[tuple[int, str]]) -> SeedIndex:
@@ -87,10 +89,12 @@ def build_index(items: list[tuple[int, str]]) -> SeedIndex:
                 place.append(at)
     if not hashes:
         e = np.empty(0, np.int64)
-        return SeedIndex(vocabulary, passages, masks, np.empty(0, np.uint64), e, e)
+        return SeedIndex(vocabulary, passages, masks, np.empty(0, np.uint64), e, e, np.zeros(1 << 20, bool))
     h, o, p = np.concatenate(hashes), np.concatenate(owner), np.concatenate(place)
     order = np.argsort(h, kind="stable")
-    return SeedIndex(vocabulary, passages, masks, h[order], o[order], p[order])
+    marks = np.zeros(1 << 20, bool)
+    marks[h & _MARKS] = True
+    return SeedIndex(vocabulary, passages, masks, h[order], o[order], p[order], marks)
 
 
 def _has_run(doc: np.ndarray, passage: np.ndarray, shift: int, need: int) -> bool:
@@ -103,8 +107,8 @@ def _has_run(doc: np.ndarray, passage: np.ndarray, shift: int, need: int) -> boo
     return bool(len(edges)) and int((edges[1::2] - edges[::2]).max()) >= need
 
 
-def least_edits(doc: np.ndarray, passage: np.ndarray) -> int:
-    """Fewest replaced, dropped and added words that turn the passage into some stretch of doc."""
+def least_edits(doc: np.ndarray, passage: np.ndarray, most: int | None = None) -> int:
+    """Fewest replaced, dropped and added words that turn the passage into some stretch of doc; where that is more than most, some number over most."""
     steps = np.arange(len(doc) + 1)
     row = np.zeros(len(doc) + 1, np.int64)
     for i, w in enumerate(passage):
@@ -112,9 +116,16 @@ def least_edits(doc: np.ndarray, passage: np.ndarray) -> int:
         new[0] = i + 1
         new[1:] = np.minimum(row[1:] + 1, row[:-1] + (doc != w))
         row = np.minimum.accumulate(new - steps) + steps
+        if most is not None and i % 8 == 7 and row.min() > most:  # it never falls
+            break
     return int(row.min())
 
 
+def _within(doc: np.ndarray, passage: np.ndarray, most: int) -> bool:
+    """Whether some stretch of doc is the passage with at most so many edits. A word of the passage that doc lacks is an edit, which settles most cases."""
+    return int(np.isin(passage, doc, invert=True).sum()) <= most and least_edits(doc, passage, most) <= most
+
+
 def _leaks(doc: np.ndarray, passage: np.ndarray, shifts: list[int]) -> bool:
     n = len(passage)
     if any(_has_run(doc, passage, s, min(RUN, n)) for s in shifts):
@@ -128,10 +139,10 @@ def _leaks(doc: np.ndarray, passage: np.ndarray, shifts: list[int]) -> bool:
         if end >= 0 and lo <= end:
             end = max(end, hi)
             continue
-        if end >= 0 and least_edits(doc[start:end], passage) <= k:
+        if end >= 0 and _within(doc[start:end], passage, k):
             return True
         start, end = lo, hi
-    return end >= 0 and least_edits(doc[start:end], passage) <= k
+    return end >= 0 and _within(doc[start:end], passage, k)
 
 
 def scan(index: SeedIndex, keys: list, texts: list[str]) -> list[tuple]:
@@ -147,6 +158,8 @@ def scan(index: SeedIndex, keys: list, texts: list[str]) -> list[tuple]:
     hits: dict[tuple[int, int], set[int]] = defaultdict(set)
     for m in index.masks:
         h, at = _seeds(ids, m)
+        some = index.marks[h & _MARKS]
+        h, at = h[some], at[some]
         left, right = np.searchsorted(index.hashes, h, "left"), np.searchsorted(index.hashes, h, "right")
         some = right > left
         left, count, at = left[some], (right - left)[some], at[some]
