@@ -106,31 +106,20 @@ def _setter(create: bool, replace: bool):
                 d = _change(d, p, _value(v), create, replace)
             return d
 
-        return _mapped(change, len(paths))(doc, *pairs[1::2])
+        return _mapped(change)(doc, F.array(*[v.cast("string") for v in pairs[1::2]]))
 
     return make
 
 
-def _mapped(change, n: int):
-    """A text function of JSON documents with so many arguments; null and malformed documents give null."""
-    run = _each(change)
-    makers = {
-        0: lambda: F.pandas_udf(lambda d: run(d), StringType()),
-        1: lambda: F.pandas_udf(lambda d, a: run(d, a), StringType()),
-        2: lambda: F.pandas_udf(lambda d, a, b: run(d, a, b), StringType()),
-        3: lambda: F.pandas_udf(lambda d, a, b, c: run(d, a, b, c), StringType()),
-    }
-    if n not in makers:
-        raise ValueError("at most three pairs at once")
-    return makers[n]()
+def _mapped(change):
+    """A text function of JSON documents and an array of arguments; null and malformed documents give null."""
 
-
-def _each(change):
-    def run(docs, *args):
+    @F.pandas_udf(StringType())
+    def run(docs: pd.Series, args: pd.Series) -> pd.Series:
         out = []
-        for row in zip(docs, *args):
+        for doc, more in zip(docs, args):
             try:
-                got = None if not isinstance(row[0], str) else change(json.loads(row[0]), *row[1:])
+                got = None if not isinstance(doc, str) else change(json.loads(doc), *more)
                 out.append(None if got is None or got is _MISSING else json.dumps(got, separators=(",", ":"), ensure_ascii=False))
             except ValueError:
                 out.append(None)
@@ -153,12 +142,12 @@ def json_remove(doc: Column, *paths: str) -> Column:
                 return None
         return d
 
-    return _mapped(change, 0)(doc)
+    return _mapped(change)(doc, F.array().cast("array<string>"))
 
 
 def json_patch(doc: Column, patch: Column) -> Column:
     """RFC 7396: the patch's members replace those of doc, its nulls remove them."""
-    return _mapped(lambda d, p: _merge(d, _value(p)), 1)(doc, patch)
+    return _mapped(lambda d, p: _merge(d, _value(p)))(doc, F.array(patch))
 
 
 def json_minify(x: Column) -> Column:

@@ -74,6 +74,27 @@ def path(**parts: Column) -> Column:
     return F.concat_ws("/", *[F.concat(F.lit(f"{k}="), F.coalesce(v.cast("string"), F.lit(NULL_PARTITION))) for k, v in parts.items()])
 
 
+def tiered(tiers: list[tuple[DataFrame, str | None]], at: str, key: list[str], since=None, until=None) -> DataFrame:
+    """Rows of hot, warm and cold tiers, newest tier first, with at from since to until (either may be None); of rows of one key the newest tier's.
+
+    A tier is (rows, the time before which it holds nothing, or None); tiers that hold nothing of the asked time aren't read. Null keys are rows of their own.
+    """
+    out = None
+    for k, (rows, holds_from) in enumerate(tiers):
+        if holds_from is not None and until is not None and str(until) < str(holds_from):
+            continue
+        part = rows if since is None else rows.where(F.col(at) >= F.lit(since))
+        part = (part if until is None else part.where(F.col(at) <= F.lit(until))).withColumn("_tier", F.lit(k))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+        if holds_from is not None and since is not None and str(since) >= str(holds_from):
+            break  # this tier holds all of the asked time
+    if out is None:
+        return tiers[0][0].limit(0).withColumn("_tier", F.lit(0))
+    best = out.where(" and ".join(f"`{c}` is not null" for c in key)).groupBy(*key).agg(F.min(F.struct("_tier", F.struct(*[c for c in out.columns if c not in (*key, "_tier")]).alias("r"))).alias("b"))
+    best = best.select(*key, F.col("b._tier").alias("_tier"), "b.r.*").select(*out.columns)
+    return best.unionByName(out.where(" or ".join(f"`{c}` is null" for c in key)))
+
+
 def write_partitioned(df: DataFrame, out: str, by: list[str], rows_per_file: int = 5_000_000) -> None:
     """Parquet under out, a folder for each value of by. Rows meet by value and a salt of their own hash, so that a hot value is written by many tasks."""
     salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(8))

@@ -16,6 +16,7 @@ from ..plans.database import Database, orphans
 from ..session import load, shared_path, ship
 from ..sources.readers import detect_format, ingest, metadata_aggregate, read_source, resolve, write_sink
 from ..streaming import changelog as cl
+from ..streaming.wal import Log, Push
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -599,6 +600,73 @@ def _(s, d):
     return webhook_changes(load(s, d, "events").select("event_id", body.alias("body")), "body", "pay").select("event_id", "table_name", c("_cdc_row_id").alias("row_id"))
 
 
+_SEEN = "source_do_id IS NOT NULL AND _cdc_sequence IS NOT NULL"
+
+
+@op("stream_once", f"SELECT min(delivery_id) AS delivery_id FROM cdc_events WHERE {_SEEN} GROUP BY source_do_id, _cdc_sequence")
+def _(s, d):
+    """Deliveries as a stream, the latest files first, so that most first deliveries come after their copies."""
+    from ..lake.dedupe import MessageStore
+
+    e, log = load(s, d, "cdc_events").select("source_do_id", "_cdc_sequence", "delivery_id"), shared_path(s, "log")
+    e.repartitionByRange(3, F.desc("delivery_id")).write.parquet(log)
+    store = MessageStore(s, shared_path(s, "messages"), ["source_do_id", "_cdc_sequence"], "delivery_id", 8)
+    cl.stream_once(cl.stream_log(s, log, e.schema, max_files=1), store, shared_path(s, "checkpoint")).awaitTermination()
+    return store.read().select("delivery_id")
+
+
+@op("wal_tail", "SELECT event_id, user_id FROM events WHERE event_id > (SELECT max(event_id) - 100 FROM events)")
+def _(s, d):
+    """Events written to a log in two segments; the last hundred numbers."""
+    e, log = load(s, d, "events").select("event_id", "user_id"), Log(s, shared_path(s, "wal"))
+    cut = e.agg(F.percentile_approx("event_id", 0.5)).first()[0]
+    log.append(e.where(c("event_id") <= cut), [F.asc("event_id")])
+    log.append(e.where(c("event_id") > cut), [F.asc("event_id")])
+    return log.read(log.last() - 100).select("event_id", "user_id")
+
+
+@op("wal_push", "SELECT event_id FROM events")
+def _(s, d):
+    """Everything a handler was given that fails once on each batch: each event once."""
+    e, log, out = load(s, d, "events").select("event_id"), Log(s, shared_path(s, "wal")), shared_path(s, "pushed")
+    log.append(e, [F.asc("event_id")])
+    slots, failed = cl.Slots(s, shared_path(s, "slots")), set()
+    slots.create("reader")
+
+    def handle(batch, first, last):
+        if first not in failed:
+            failed.add(first)
+            raise OSError("not now")
+        batch.select("event_id").write.mode("overwrite").parquet(f"{out}/b{first}")
+
+    Push(log, slots, "reader", handle, size=log.last() // 2 + 1, wait=0.01).run()
+    return s.read.parquet(f"{out}/*")
+
+
+@op("tiers_merge", "SELECT event_id, CASE WHEN ts >= (SELECT max(ts) - INTERVAL 1 DAY FROM events) THEN 0 ELSE 1 END AS tier FROM events")
+def _(s, d):
+    """Events in a hot tier (the last day) and a cold one that holds all."""
+    e = load(s, d, "events").select("event_id", "ts")
+    hot = e.where(c("ts") >= lit(e.agg(F.max("ts") - F.expr("interval 1 day")).first()[0]))
+    return pt.tiered([(hot, None), (e, None)], "ts", ["event_id"]).select("event_id", c("_tier").alias("tier"))
+
+
+@op("procedure_steps", "SELECT count(*) AS n, 1 AS refused FROM customer WHERE c_nationkey <> 5")
+def _(s, d):
+    """A procedure with checked arguments, in a transaction, tried again on a conflict."""
+    from ..plans import procedures as pr
+
+    db = _customers(s, d)
+    db.procedure("drop_nation", pr.procedure(lambda b, n: b.sql(f"DELETE FROM cust WHERE nation = {n}"), pr.retrying(), pr.validated(int), pr.in_transaction()))
+    try:
+        db.sql("CALL drop_nation('x')")
+        refused = 0
+    except pr.InvalidArgument:
+        refused = 1
+    db.sql("CALL drop_nation(5)")
+    return db.sql("SELECT count(*) AS n FROM cust").withColumn("refused", lit(refused))
+
+
 # Shards
 
 

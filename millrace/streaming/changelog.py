@@ -175,7 +175,11 @@ def stream_log(spark: SparkSession, path: str, schema, max_files: int = 100) ->
 
 
 def stream_dedup(stream: DataFrame, source: str, sequence: str, ts: str, delay: str = "5 minutes") -> DataFrame:
-    """One row for each (source, sequence) within the delay of event time; later copies are caught when the log is applied."""
+    """One row for each (source, sequence) within the delay of event time.
+
+    Rows that come later than the delay behind the newest are dropped by the watermark, first deliveries too: choose a delay no delivery exceeds, or
+    use stream_once(), which has no such bound.
+    """
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([source, sequence])
 
 
@@ -185,6 +189,12 @@ def stream_apply(stream: DataFrame, write: Callable[[DataFrame, int], None], che
     return (w.trigger(availableNow=True) if available_now else w).start()
 
 
+def stream_once(stream: DataFrame, store, checkpoint: str):
+    """A stream into a lake.dedupe.MessageStore: each message once, however late its copies or its first delivery come. Rows without an identifier are left out."""
+    have = " and ".join(f"`{c}` is not null" for c in store.identifier)
+    return stream_apply(stream, lambda df, n: store.upsert(df.where(have), f"b{n:010d}"), checkpoint)
+
+
 def stream_to_table(stream: DataFrame, table, checkpoint: str):
     """A stream into an EqualityDeleteTable; repeated batches overwrite their own files."""
     return stream_apply(stream, lambda df, n: table.append(df, f"b{n:010d}"), checkpoint)

@@ -261,6 +261,7 @@ def test_strings_and_json(spark):
     j = F.lit('{"a":[1,2],"b":{"c":null}}')
     assert ev(jsons.json_set(j, "$.a[#]", F.lit("3"), '$."b".d', F.lit('"x"'))) == '{"a":[1,2,3],"b":{"c":null,"d":"x"}}'
     assert ev(jsons.json_insert(j, "$.a[0]", F.lit("9"))) == '{"a":[1,2],"b":{"c":null}}' and ev(jsons.json_replace(j, "$.z", F.lit("9"))) == '{"a":[1,2],"b":{"c":null}}'
+    assert ev(jsons.json_set(j, "$.p", F.lit("1"), "$.q", F.lit("2"), "$.r", F.lit("3"), "$.s", F.lit("4"))).endswith('"p":1,"q":2,"r":3,"s":4}')
     assert ev(jsons.json_remove(j, "$.a[0]", "$.b")) == '{"a":[2]}' and ev(jsons.json_patch(j, F.lit('{"a":null,"n":1}'))) == '{"b":{"c":null},"n":1}'
     assert [ev(jsons.json_type(j, p)) for p in ("$", "$.a", "$.a[0]", "$.b.c", "$.zz")] == ["object", "array", "integer", "null", None]
     assert ev(jsons.json_valid(F.lit("{x"))) == 0 and ev(jsons.json_set(F.lit("{x"), "$.a", F.lit("1"))) is None
@@ -322,6 +323,40 @@ def test_search(spark):
     assert s == "...Fox brown"
 
 
+def test_log_and_push(spark):
+    from millrace.streaming.wal import Log, Push
+
+    log, slots = Log(spark, shared_path(spark, "wal")), Slots(spark, shared_path(spark, "slots"))
+    assert log.read() is None and log.last() == -1 and log.append(spark.range(0), [F.asc("id")]) is None
+    assert log.append(spark.range(10), [F.desc("id")]) == (0, 9) and log.append(spark.range(10, 15), [F.asc("id")]) == (10, 14)
+    assert [r["id"] for r in log.read(7).orderBy("lsn").collect()] == [1, 0, 10, 11, 12, 13, 14] and log.read(3, 2).count() == 2
+    slots.create("s")
+    got = []
+
+    def handle(batch, first, last):
+        if first == 6:
+            raise OSError("never")
+        got.extend(r["lsn"] for r in batch.collect())
+
+    dead = shared_path(spark, "dead")
+    p = Push(log, slots, "s", handle, size=6, retries=1, wait=0.0, dead_letters=dead)
+    p.pause()
+    assert p.run() == 0
+    p.resume()
+    assert p.run() == 3 and sorted(got) == [*range(6), 12, 13, 14] and slots.position("s") == 14 and spark.read.parquet(f"{dead}/*").count() == 6
+    assert log.prune(9) == 1 and log.segments() == [(10, 14)]
+
+
+def test_tiers(spark):
+    from millrace.lake.partitioning import tiered
+
+    mk = lambda *x: spark.createDataFrame(list(x), "k int, day string, v string")
+    hot, warm, cold = mk((1, "2024-03-02", "h")), mk((1, "2024-03-02", "w"), (2, "2024-02-03", "w")), mk((2, "2024-02-03", "c"), (3, "2023-01-01", "c"), (None, "2023-01-02", "c"))
+    t = [(hot, "2024-03-01"), (warm, "2024-02-01"), (cold, None)]
+    assert sorted(one(tiered(t, "day", ["k"]).select("k", "v", "_tier")), key=repr) == sorted([(1, "h", 0), (2, "w", 1), (3, "c", 2), (None, "c", 2)], key=repr)
+    assert one(tiered(t, "day", ["k"], since="2024-03-01").select("v")) == [("h",)] and one(tiered(t, "day", ["k"], until="2023-01-01").select("v")) == [("c",)]
+
+
 def test_text_index(spark, tmp_path):
     from millrace.operators.search import bm25
     from millrace.operators.textindex import TextIndex
