@@ -76,7 +76,7 @@ class BucketedRuns:
             self.buckets = buckets_for(rows)
         self._open(rows.schema)
         files.remove(self.spark, f"{self.path}/runs/mr_run={run}")
-        with shuffling_into(self.spark, self.buckets):
+        with shuffling_into(rows.sparkSession, self.buckets):  # a stream's batch has a session of its own
             rows.withColumn("mr_run", F.lit(run)).select(*[F.col(f"`{c}`") for c in [*self._columns, *self._parts]]).write.insertInto(self._table)
 
     def read(self, runs: list[str]) -> DataFrame | None:

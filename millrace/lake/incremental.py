@@ -82,7 +82,10 @@ def covered_intervals(runs: DataFrame, snapshots: DataFrame) -> DataFrame:
     spans = ok.join(to, ["table_name", "to_snapshot_id"]).join(since, ["table_name", "from_snapshot_id"], "left")
     first = order.groupBy("table_name").agg((F.min("no") - 1).alias("start"))
     lo = F.when(F.col("from_snapshot_id").isNull(), F.col("start")).otherwise(F.col("known_lo"))
-    return merge_intervals(spans.join(first, "table_name").withColumn("lo", lo).where("lo is not null"), ["table_name"])
+    spans = spans.join(first, "table_name").withColumn("lo", lo).where("lo is not null")
+    # Of runs that begin, or end, alike only the longest counts, so that runs from the start don't multiply with the history.
+    spans = spans.groupBy("table_name", "lo").agg(F.max("hi").alias("hi")).groupBy("table_name", "hi").agg(F.min("lo").alias("lo"))
+    return merge_intervals(spans, ["table_name"])
 
 
 def pending_changes(events: DataFrame, snapshots: DataFrame, runs: DataFrame) -> DataFrame:

@@ -252,6 +252,24 @@ def highlight(text: Column, query: str, before: str = "<b>", after: str = "</b>"
     return F.regexp_replace(text, r"(?iU)\b(" + "|".join(re.escape(w) for w in ws) + r")\b", before.replace("$", r"\$") + "$1" + after.replace("$", r"\$"))
 
 
+def highlight_phrases(text: Column, query: str, before: str = "<b>", after: str = "</b>") -> Column:
+    """text with the query's phrases marked as wholes, whatever stands between their words but letters and digits, and its other words one by one."""
+
+    def walk(n: Node):
+        for p in n.parts[:1] if n.kind == "not" else n.parts:
+            yield from walk(p)
+        if n.kind in ("phrase", "term") and n.words:
+            yield n.words
+        elif n.kind == "near":
+            yield from ((w,) for w in n.words)
+
+    found = sorted(set(walk(parse_query(query))), key=lambda w: (-len(w), w))
+    if not found:
+        return text
+    each = "|".join(r"[^\p{L}\p{N}]+".join(map(re.escape, w)) for w in found)
+    return F.regexp_replace(text, rf"(?iU)\b({each})\b", before.replace("$", r"\$") + "$1" + after.replace("$", r"\$"))
+
+
 def snippet(text: Column, query: str, size: int = 12, ellipsis: str = "...") -> Column:
     """The stretch of size words with most of the query's words, the first such one; an ellipsis where something is left out."""
     ws = terms_of(query)
@@ -272,42 +290,45 @@ def knn(vectors: DataFrame, query: list[float], k: int, metric: str = "cos", vec
     return v.withColumn("distance", METRICS[metric](F.col(vector), q)).where("distance is not null").orderBy("distance", key).limit(k)
 
 
-def knn_join(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cos", vector: str = "embedding", key: str = "vec_id", block: int = 256) -> DataFrame:
-    """The k nearest rows of each query row: query_id, key, distance, rank. A stated query set, in blocks, against all rows: each task keeps k a query."""
+def knn_join(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cos", vector: str = "embedding", key: str = "vec_id", block_bytes: int = 32 * 1024 * 1024) -> DataFrame:
+    """The k nearest rows of each query row: query_id, key, distance, rank. A stated query set, in blocks of bounded bytes, against all rows.
+
+    Each block is one pass over the rows (32 MB are some 60,000 queries of 64 numbers); a task keeps k rows a query. Null vectors, and rows of
+    another length than a query's, match nothing.
+    """
     spark, out = vectors.sparkSession, None
-    rows = queries.select(key, vector).where(F.col(vector).isNotNull()).toLocalIterator()
-    parts: list[list] = [[]]
-    for r in rows:
-        if len(parts[-1]) == block:
-            parts.append([])
-        parts[-1].append((r[0], list(r[1])))
-    for part in (p for p in parts if p):
-        ids = [i for i, _ in part]
-        shared = spark.sparkContext.broadcast(np.array([v for _, v in part], np.float64))
-
-        def near(batches, shared=shared, ids=ids):
-            q, best = shared.value, None
-            qn = np.linalg.norm(q, axis=1)
+
+    def blocks():
+        ids, rows, size, dim = [], [], 0, None
+        for i, v in queries.select(key, vector).where(F.col(vector).isNotNull()).toLocalIterator():
+            if rows and (size > block_bytes or len(v) != dim):
+                yield ids, rows
+                ids, rows, size = [], [], 0
+            dim = len(v)
+            ids.append(i)
+            rows.append(list(v))
+            size += 8 * dim
+        if rows:
+            yield ids, rows
+
+    for ids, rows in blocks():
+        shared = spark.sparkContext.broadcast((np.array(ids), np.array(rows, np.float64)))
+
+        def near(batches, shared=shared):
+            ids, every = shared.value
+            parts = [(ids[lo : lo + 256], every[lo : lo + 256]) for lo in range(0, len(ids), 256)]
+            best: list = [None] * len(parts)
             for b in batches:
-                ok = [(i, v) for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if v is not None and len(v) == q.shape[1] and i is not None]
+                ok = [(i, v) for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if v is not None and len(v) == every.shape[1] and i is not None]
                 if not ok:
                     continue
-                key_, x = np.array([i for i, _ in ok]), np.array([v for _, v in ok], np.float64)
-                if metric == "cos":
-                    n = qn[:, None] * np.linalg.norm(x, axis=1)
-                    d = 1 - np.clip(np.divide(q @ x.T, n, out=np.zeros_like(n), where=n > 0), -1, 1)
-                elif metric == "dot":
-                    d = -(q @ x.T)
-                else:
-                    d = np.sqrt(np.maximum((q**2).sum(1)[:, None] + (x**2).sum(1) - 2 * q @ x.T, 0))
-                keys = np.broadcast_to(key_, d.shape)
-                if best is not None:
-                    d, keys = np.hstack([best[0], d]), np.hstack([best[1], keys])
-                top = np.lexsort((keys, d))[:, :k]
-                best = np.take_along_axis(d, top, 1), np.take_along_axis(keys, top, 1)
-            if best is not None:
-                n = best[0].shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best[1].ravel()), pa.array(best[0].ravel())], names=["query_id", key, "distance"])
+                keys, x = np.array([i for i, _ in ok]), np.array([v for _, v in ok], np.float64)
+                for p, (_, q) in enumerate(parts):
+                    best[p] = _nearer(best[p], q, keys, x, k, metric)
+            for (mine, _), got in zip(parts, best):
+                if got is not None:
+                    n = got[0].shape[1]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(mine, n)), pa.array(got[1].ravel()), pa.array(got[0].ravel())], names=["query_id", key, "distance"])
 
         one = vectors.select(key, vector).mapInArrow(near, f"query_id bigint, {key} bigint, distance double")
         out = one if out is None else out.unionByName(one)
@@ -316,6 +337,22 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cos"
     return out.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", key))).where(F.col("rank") <= k)
 
 
+def _nearer(best, q: np.ndarray, keys: np.ndarray, x: np.ndarray, k: int, metric: str):
+    """(distances, keys) of the k nearest rows of each query, among the best so far and rows x."""
+    if metric == "cos":
+        n = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)
+        d = 1 - np.clip(np.divide(q @ x.T, n, out=np.zeros_like(n), where=n > 0), -1, 1)
+    elif metric == "dot":
+        d = -(q @ x.T)
+    else:
+        d = np.sqrt(np.maximum((q**2).sum(1)[:, None] + (x**2).sum(1) - 2 * q @ x.T, 0))
+    ids = np.broadcast_to(keys, d.shape)
+    if best is not None:
+        d, ids = np.hstack([best[0], d]), np.hstack([best[1], ids])
+    top = np.lexsort((ids, d))[:, :k]
+    return np.take_along_axis(d, top, 1), np.take_along_axis(ids, top, 1)
+
+
 class IvfIndex:
     """An approximate index: rows by nearest of so many centres (fitted on a bounded sample, drawn by hash); searches look into the nearest few cells.
 

@@ -8,7 +8,7 @@ from ..lake import partitioning as pt
 from ..lake.catalog import Catalog
 from ..lake.tables import Conflict, LakeTable
 from ..operators.hnsw import HnswIndex
-from ..operators.search import IvfIndex, bm25, highlight, knn, knn_join, match, postings, snippet, tfidf
+from ..operators.search import IvfIndex, bm25, highlight, highlight_phrases, knn, knn_join, match, postings, snippet, tfidf
 from ..operators.relational import three_way_merge
 from ..operators.sharding import FnvIndex, HashIndex, ListIndex, RangeIndex, RingIndex, routed
 from ..operators.textindex import TextIndex
@@ -724,6 +724,8 @@ SELECT doc_id, round(ln((c - da + 0.5) / (da + 0.5) + 1) * a * 2.2 / (a + 1.2 *
 op("fts_tfidf", f"WITH f AS (SELECT doc_id, len(w) AS n, {_TF('screen')} AS a FROM {_DOC}) SELECT doc_id, round(a / n * ln((SELECT count(*) FROM f) / (SELECT count(*) FROM f WHERE a > 0)), 6) AS score FROM f WHERE a > 0")(
     lambda s, d: tfidf(load(s, d, "documents"), "doc_id", ["text"], "screen").withColumn("score", F.round("score", 6)))
 op("fts_highlight", r"SELECT doc_id, regexp_replace(text, '(?i)\b(screen|manual)\b', '<b>\1</b>', 'g') AS h FROM documents")(lambda s, d: load(s, d, "documents").select("doc_id", highlight(c("text"), "screen manual").alias("h")))
+op("fts_highlight_phrases", r"SELECT doc_id, regexp_replace(text, '(?i)\b(after[^\p{L}\p{N}]+two[^\p{L}\p{N}]+days|screen)\b', '<b>\1</b>', 'g') AS h FROM documents")(
+    lambda s, d: load(s, d, "documents").select("doc_id", highlight_phrases(c("text"), '"after two days" OR screen').alias("h")))
 op("fts_snippet")(lambda s, d: match(load(s, d, "documents"), "screen", ["text"]).select("doc_id", snippet(c("text"), "screen").alias("snippet")))
 
 def _index(s, d) -> TextIndex:
