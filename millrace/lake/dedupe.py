@@ -136,7 +136,7 @@ def superfluous(rows: DataFrame, identifier: list[str], order: str, runs: int =
     return _identified(rows, by).select(*by).join(stored(rows, identifier, order, runs).read(), by, "left_anti").distinct()
 
 
-def request_messages(requests: DataFrame, runs: int = RUNS) -> DataFrame:
+def request_messages(requests: DataFrame, runs: int = 1) -> DataFrame:
     """delivery_id and message (the lowest delivery_id of the message it belongs to) of every request.
 
     Requests are linked if they share session_id and id (neither null), or a key that isn't blank (trimmed, in lower case). Chains of links
