@@ -347,6 +347,28 @@ def test_log_and_push(spark):
     assert log.prune(9) == 1 and log.segments() == [(10, 14)]
 
 
+def test_small_parts(spark, tmp_path):
+    from millrace.plans import procedures as pr
+    from millrace.plans import triggers as tr
+    from millrace.sources.readers import metadata_aggregate, write_sink
+
+    d = Database(spark)
+    d.sql("CREATE TABLE s (id INTEGER PRIMARY KEY, deleted_at TIMESTAMP)")
+    d.sql("INSERT INTO s (id) VALUES (1), (2)")
+    d.trigger("soft", "before", "delete", "s", tr.soft_delete(table="s"))
+    d.sql("DELETE FROM s WHERE id = 1")
+    assert one(d.sql("SELECT id FROM s WHERE deleted_at IS NOT NULL")) == [(1,)] and one(d.sql("SELECT count(*) FROM s")) == [(2,)]
+    t = LakeTable.create(spark, shared_path(spark, "t"), "k int, v string")
+    t.append(spark.createDataFrame([(1, "a")], "k int, v string"))
+    t.branch("dev")
+    t.append(spark.createDataFrame([(2, "b")], "k int, v string"), branch="dev")
+    t.merge("dev", ["k"], squash=True)
+    assert sorted(one(t.read())) == [(1, "a"), (2, "b")] and [r["operation"] for r in t.history().orderBy("depth").collect()] == ["squash", "append", "create"]
+    assert [len(x) for x in pr.in_pieces(spark.range(25), 10)] == [10, 10, 5] and list(pr.in_pieces(spark.range(0))) == []
+    write_sink(spark.createDataFrame([(1, "x"), (None, "z")], "a int, b string"), str(tmp_path / "w"), sums=["a"])
+    assert metadata_aggregate(spark, str(tmp_path / "w"), "a") == (2, 1, 1, "1") and metadata_aggregate(spark, str(tmp_path / "w"), "b") == (2, "x", "z", None)
+
+
 def test_tiers(spark):
     from millrace.lake.partitioning import tiered
 
