@@ -270,17 +270,34 @@ def highlight_phrases(text: Column, query: str, before: str = "<b>", after: str
     return F.regexp_replace(text, rf"(?iU)\b({each})\b", before.replace("$", r"\$") + "$1" + after.replace("$", r"\$"))
 
 
+def _once(x: Column, f) -> Column:
+    """f(x), where x is computed once for each row. A lambda function computes all that it holds each time it is called, but for its arguments."""
+    return F.transform(F.array(x), f)[0]
+
+
 def snippet(text: Column, query: str, size: int = 12, ellipsis: str = "...") -> Column:
-    """The stretch of size words with most of the query's words, the first such one; an ellipsis where something is left out."""
+    """The stretch of size words with most of the query's words, the first such one; an ellipsis where something is left out.
+
+    Its time grows in proportion to the text, however many of the query's words that holds and whatever size is.
+    """
     ws = terms_of(query)
-    w = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
-    bare = F.transform(w, lambda x: F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]", ""))
-    hit = F.transform(bare, lambda x: F.when(x.isin(*ws), 1).otherwise(0) if ws else F.lit(0))
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - size + 1))
-    score = F.transform(starts, lambda i: F.struct(F.aggregate(F.slice(hit, i, size), F.lit(0), lambda a, x: a + x).alias("n"), (-i).alias("i")))
-    best = -F.array_max(score)["i"]
-    body = F.array_join(F.slice(w, best, size), " ")
-    return F.concat(F.when(best > 1, ellipsis).otherwise(""), body, F.when(best + size <= F.size(w), ellipsis).otherwise(""))
+    hit = lambda x: F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]", "").isin(*ws) if ws else F.lit(False)
+    places = lambda w: F.filter(F.transform(w, lambda x, i: F.when(hit(x), i + 1)), lambda p: p.isNotNull())
+
+    def best(at: Column) -> Column:
+        """The first start: a stretch with more hits than all before it begins the text or ends in a hit, and has one more than the best so far."""
+
+        def longer(a: Column, p: Column) -> Column:
+            more = F.get(at, a["k"] - a["n"]) > p - size
+            return F.struct((a["k"] + 1).alias("k"), F.when(more, a["n"] + 1).otherwise(a["n"]).alias("n"), F.when(more, F.greatest(F.lit(1), p - size + 1)).otherwise(a["start"]).alias("start"))
+
+        return F.aggregate(at, F.struct(F.lit(0).alias("k"), F.lit(0).alias("n"), F.lit(1).alias("start")), longer, lambda a: a["start"])
+
+    def cut(w: Column, start: Column) -> Column:
+        return F.concat(F.when(start > 1, ellipsis).otherwise(""), F.array_join(F.slice(w, start, size), " "), F.when(start + size <= F.size(w), ellipsis).otherwise(""))
+
+    words = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
+    return _once(words, lambda w: _once(places(w), lambda at: _once(best(at), lambda start: cut(w, start))))
 
 
 def knn(vectors: DataFrame, query: list[float], k: int, metric: str = "cos", vector: str = "embedding", key: str = "vec_id", where: str | None = None) -> DataFrame:

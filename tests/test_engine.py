@@ -1,6 +1,8 @@
 """Dialect, database, lake tables, sources, streams and search on small inputs."""
 
 import datetime
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -323,6 +325,30 @@ def test_search(spark):
     assert s == "...Fox brown"
 
 
+def test_snippet_first_best(spark):
+    def slow(text, ws, size):
+        w = re.sub(r"[ \t\n\x0b\f\r]+", " ", text).strip(" ").split(" ")
+        hit = [re.sub(r"[\W_]", "", x.lower()) in ws for x in w]
+        at = max(range(max(1, len(w) - size + 1)), key=lambda i: (sum(hit[i : i + size]), -i))
+        return "..." * (at > 0) + " ".join(w[at : at + size]) + "..." * (at + size < len(w))
+
+    texts = ["", " ", "Fox", "a b c d", "a fox b c fox, d e FOX f", "fox " * 9, "a\n\tb  é (quick) fox-hunt fox's _ fox", "a " * 20 + "quick a fox " + "b " * 5 + "fox quick"]
+    d = spark.createDataFrame([*enumerate(texts), (99, None)], "id int, text string")
+    for query, ws in (("fox", {"fox"}), ("quick OR fox", {"quick", "fox"}), ("fo*", set())):
+        for size in (1, 2, 3, 12):
+            got = dict(map(tuple, d.select("id", snippet(F.col("text"), query, size)).collect()))
+            assert got == {i: slow(t, ws, size) for i, t in enumerate(texts)} | {99: None}
+
+
+def test_snippet_of_long_text(spark):
+    """Time in proportion to the text: words are taken from it once, not once for each stretch."""
+    d = spark.createDataFrame([("fox " + "a " * 5_000 + "fox b fox " + "c " * 5_000,), ("fox " * 10_000,)], "text string")
+    d.select(snippet(F.left("text", F.lit(9)), "fox", 3)).collect()  # Spark's own start isn't counted
+    began = time.time()
+    assert [r[0] for r in d.select(snippet(F.col("text"), "fox", 3)).collect()] == ["...fox b fox...", "fox fox fox..."]
+    assert time.time() - began < 20
+
+
 def test_log_and_push(spark):
     from millrace.streaming.wal import Log, Push
 
